@@ -1,0 +1,3 @@
+"""Nothing here on purpose: all inputs are closed files.  The row-wise operators (schema,
+composition, filters, encoding, scoring) are plain projections and also accept a streaming
+DataFrame."""
