@@ -164,10 +164,10 @@ VIEWS = {
         "floor(C_AGE/200.0)*200.0 + 200.0 AS hi FROM E WHERE C_AGE IS NOT NULL)"
     ),
     "P": (
-        "V AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS vec "
+        "V AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec "
         "FROM embeddings), "
-        "X AS (SELECT vec_id, label, vec, list_transform(vec[1:10], x -> exp(x)) AS ex FROM V), "
-        "P AS (SELECT vec_id, label, vec, list_transform(ex, x -> x / list_sum(ex)) AS probs FROM X), "
+        "X AS (SELECT vec_id, label, vec, list_transform(vec[1:10], lambda x: exp(x)) AS ex FROM V), "
+        "P AS (SELECT vec_id, label, vec, list_transform(ex, lambda x: x / list_sum(ex)) AS probs FROM X), "
         "Q AS (SELECT vec_id, label, probs, list_max(probs) AS conf, "
         "CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS pred FROM P)"
     ),
