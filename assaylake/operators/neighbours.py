@@ -283,7 +283,8 @@ def knn_distance(
         weight = lambda f: f["dist"] * f["times"]
         total = F.aggregate("found", F.lit(0.0), lambda a, f: a + weight(f))
         held = F.aggregate("found", F.lit(0), lambda a, f: a + f["times"])
-        mean = found.select(F.col("vec").alias("_v"), (total / held).alias("knn_distance"))
+        # Distances feed thresholds, histograms and joins: search once.
+        mean = cut_lineage(found.select(F.col("vec").alias("_v"), (total / held).alias("knn_distance")))
         keyed = rows.withColumn("_k", F.transform(as_col(vec), lambda x: x.cast("double")))
         return keyed.join(mean, F.col("_k") == F.col("_v")).select(as_col(id_col), "knn_distance")
 
