@@ -18,8 +18,7 @@ def as_col(c: str | Column) -> Column:
 
 def to_number(c: str | Column) -> Column:
     """Text or number to double; anything unreadable and NaN become NULL."""
-    number = as_col(c).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(as_col(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def missing(c: str | Column, policy: str = "null_only") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -79,6 +79,33 @@ def closed_parts(cols: Sequence[str], mode: str) -> dict[str, Column]:
     return {c: v / total * F.lit(100.0) for c, v in zip(cols, values)}
 
 
+def closed_in_bounds(
+    cols: Sequence[str], bounds: Mapping[str, tuple[float, float]], mode: str = "strict"
+) -> Column:
+    """Are the closed parts inside their inclusive bounds?  NULL when the row cannot be closed.
+
+    The total is bound once inside a lambda: filters are pushed through projections, and a
+    repeated total would repeat the text-to-number casts below it many times over.
+    """
+    values = [as_col(c) for c in cols]
+    if mode == "strict":
+        total = _total(values)
+    elif mode == "positive":
+        values = [F.when(v > 0, v) for v in values]
+        total = _total([F.coalesce(v, F.lit(0.0)) for v in values])
+    else:
+        raise ValueError(f"unknown closure mode: {mode}")
+    by_name = dict(zip(cols, values))
+    bound = F.struct(total.alias("t"), *[by_name[c].alias(f"v{i}") for i, c in enumerate(bounds)])
+
+    def inside(s: Column) -> Column:
+        part = lambda i: s[f"v{i}"] / s["t"] * F.lit(100.0)
+        tests = [part(i).between(lo, hi) for i, (lo, hi) in enumerate(bounds.values())]
+        return F.when(s["t"] > 0, all_true(tests)) if tests else F.when(s["t"] > 0, F.lit(True))
+
+    return F.get(F.transform(F.array(bound), inside), 0)
+
+
 def anhydrous(
     df: DataFrame,
     cols: Sequence[str] = K.LONG_MAJORS,

@@ -12,7 +12,7 @@ from .. import constants as K
 from ..functions.numeric import all_true, any_true, as_col, count_true, missing, resolve_age
 from ..functions.numeric import to_number
 from ..functions.text import is_archean
-from .composition import closed_parts
+from .composition import closed_in_bounds, closed_parts
 from .ordering import attach, exact_quantiles
 
 
@@ -50,12 +50,6 @@ def require(df: DataFrame, cols: Sequence[str], positive: bool = False) -> DataF
     return df.where(all_true([as_col(c) > 0 if positive else as_col(c).isNotNull() for c in cols]))
 
 
-def in_bounds(bounds: Mapping[str, tuple[float, float]], closed: Mapping[str, Column] | None = None) -> Column:
-    """All (closed) values inside their inclusive bounds."""
-    values = closed or {}
-    return all_true([values.get(c, as_col(c)).between(lo, hi) for c, (lo, hi) in bounds.items()])
-
-
 def composition_range(
     df: DataFrame,
     majors: Sequence[str] = K.LONG_MAJORS,
@@ -68,7 +62,7 @@ def composition_range(
     bounds = bounds or {
         "SIO2(WT%)": (45.0, 53.0), "MGO(WT%)": (4.5, 12.0), "AL2O3(WT%)": (12.0, 19.0),
     }
-    ok = in_bounds(bounds, closed_parts(majors, "strict"))
+    ok = closed_in_bounds(majors, bounds)
     if loi is not None:
         low = as_col(loi) < loi_below
         ok = ok & (low | as_col(loi).isNull() if keep_null_loi else low)
@@ -89,11 +83,8 @@ def application_filter(
     magnesia in range.  Majors of the kept rows are replaced by their closed values."""
     closed = closed_parts(majors, "positive")
     gated = max_missing(df, features, missing_below, "null_or_nonpositive", count)
-    keep = (
-        all_true([as_col(c) > 0 for c in required])
-        & closed[sio2].between(sio2_min, sio2_max)
-        & (closed[mgo] <= mgo_max)
-    )
+    bounds = {sio2: (sio2_min, sio2_max), mgo: (float("-inf"), mgo_max)}
+    keep = all_true([as_col(c) > 0 for c in required]) & closed_in_bounds(majors, bounds, "positive")
     return gated.where(keep).withColumns(closed)
 
 
@@ -158,7 +149,6 @@ class FunnelParams:
 
 def funnel_steps(params: FunnelParams) -> list[tuple[str, Column]]:
     """Named row conditions in the order they apply."""
-    closed = closed_parts(params.majors, "strict")
     complete = []
     if params.min_present is not None:
         present = count_true([as_col(c).isNotNull() for c in params.features])
@@ -174,11 +164,11 @@ def funnel_steps(params: FunnelParams) -> list[tuple[str, Column]]:
         steps.append(("after_exclude_archean", ~is_archean(params.age, params.age_prefix)))
     steps += complete + required if params.completeness_first else required
     if params.sio2_range is not None or params.pair_ranges is not None:
-        steps.append(("after_anhydrous_normalization_ready", closed[params.majors[0]].isNotNull()))
+        steps.append(("after_anhydrous_normalization_ready", closed_in_bounds(params.majors, {})))
     if params.sio2_range is not None:
-        steps.append(("after_sio2", in_bounds({params.sio2: params.sio2_range}, closed)))
+        steps.append(("after_sio2", closed_in_bounds(params.majors, {params.sio2: params.sio2_range})))
     if params.pair_ranges is not None:
-        steps.append(("after_mgo_al2o3", in_bounds(params.pair_ranges, closed)))
+        steps.append(("after_mgo_al2o3", closed_in_bounds(params.majors, params.pair_ranges)))
     if params.loi is not None:
         low = as_col(params.loi) < params.loi_below
         steps.append(
@@ -197,26 +187,28 @@ def filter_funnel(df: DataFrame, params: FunnelParams) -> tuple[DataFrame, DataF
     """
     steps = funnel_steps(params)
     names = ["raw_input"] + [name for name, _ in steps]
-    passed = F.lit(True)
-    alive = [F.lit(True)]
-    for _, condition in steps:
-        passed = passed & F.coalesce(condition, F.lit(False))
-        alive.append(passed)
-    survivors = df.where(alive[-1])
-    counts = df.groupBy(F.coalesce(as_col(params.label), F.lit("UNKNOWN")).alias("label")).agg(
-        *[F.count_if(a).alias(f"_a{i}") for i, a in enumerate(alive)]
-    )
+    flags = F.array(*[F.coalesce(condition, F.lit(False)) for _, condition in steps])
+    # Position of the first failed step, 0 when all hold.
+    failed = F.array_position(flags, F.lit(False))
+    survivors = df.where(failed == 0)
+    counts = df.groupBy(
+        F.coalesce(as_col(params.label), F.lit("UNKNOWN")).alias("label"), failed.alias("_f")
+    ).agg(F.count(F.lit(1)).alias("_n"))
     rows = F.explode(
         F.array(
             *[
                 F.struct(
-                    F.lit(i).alias("step_no"), F.lit(n).alias("step"), F.col(f"_a{i}").alias("n")
+                    F.lit(i).alias("step_no"), F.lit(n).alias("step"),
+                    F.when((F.col("_f") == 0) | (F.col("_f") > i), F.col("_n"))
+                    .otherwise(F.lit(0)).alias("n"),
                 )
                 for i, n in enumerate(names)
             ]
         )
     )
-    stats = counts.select("label", rows.alias("s")).select("s.step_no", "s.step", "label", "s.n")
+    stats = counts.select("label", rows.alias("s")).groupBy("s.step_no", "s.step", "label").agg(
+        F.sum("s.n").alias("n")
+    )
     return survivors, stats
 
 

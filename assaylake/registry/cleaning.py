@@ -47,7 +47,7 @@ def _closed(total: str, parts: str = "{c}") -> str:
 def flagship(spark, sf):
     """Scan, closure, completeness and range gate, exact dedup, flag, age bin, summary."""
     s = W.require(samples(spark, sf), M)
-    s = s.where(W.in_bounds({"m1": (10.0, 60.0)}, C.closed_parts(M, "strict")))
+    s = s.where(C.closed_in_bounds(M, {"m1": (10.0, 60.0)}))
     s = C.anhydrous(s, M, "strict")
     s = s.select("sample_id", "l_partkey", N.round_half_even("m1").alias("c1"),
                  N.round_half_even("m2").alias("c2"))

@@ -25,6 +25,16 @@ def get_spark(app: str = "assaylake", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def wide_plans(spark: SparkSession) -> None:
+    """Session setting for filters over tens of derived columns.
+
+    The optimizer restates every filter for every alias it contains; a completeness filter over
+    36 text-to-number columns would be restated 2^36 times.  Switching that inference off is
+    the documented remedy; pushdown and pruning are not affected.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
 
