@@ -264,7 +264,7 @@ def _drift(spark, sf):
     return P.drift_report(ref, full, app, filled, COLS, ["m1", "m2"], bounds, models, names, ["A"], "label", "N", "unit")
 
 
-for _part in ("element", "sample", "class", "source"):
+for _part in ("class", "source"):
     register(f"p8_drift_report_{_part}")(lambda spark, sf, part=_part: _drift(spark, sf)[part])
 
 
