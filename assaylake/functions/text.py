@@ -67,7 +67,12 @@ def canonical_label(c: str | Column) -> Column:
 def clean_text(c: str | Column) -> Column:
     """Single blanks, trimmed; NULL and ``nan`` give an empty text."""
     text = F.trim(F.regexp_replace(F.coalesce(as_col(c).cast("string"), F.lit("")), r"\s+", " "))
-    return F.when(F.lower(text) == "nan", F.lit("")).otherwise(text)
+    return F.regexp_replace(text, "^(?i:nan)$", "")
+
+
+def or_unresolved(text: Column) -> Column:
+    """An empty text becomes ``Unresolved``.  One pass, as the text is a nested expression."""
+    return F.regexp_replace(text, "^$", "Unresolved")
 
 
 def craton_from_location(c: str | Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numeric import any_true, as_col, to_number
-from ..functions.text import citation_numbers, clean_text
+from ..functions.text import citation_numbers, clean_text, or_unresolved
 from .ordering import _join_small
 
 
@@ -145,10 +145,7 @@ def _year_text(c: str):
 
 def unit_key(source: str, region: str):
     """``source|region`` with cleaned texts and a stand-in for an unknown region."""
-    name = clean_text(region)
-    return F.concat(
-        clean_text(source), F.lit("|"), F.when(name == "", F.lit("Unresolved")).otherwise(name)
-    )
+    return F.concat(clean_text(source), F.lit("|"), or_unresolved(clean_text(region)))
 
 
 def apply_unit_results(
@@ -162,8 +159,7 @@ def apply_unit_results(
     original = f"{region}_original"
     if original not in df.columns:
         df = df.withColumn(original, as_col(region))
-    before = clean_text(original)
-    before = F.when(before == "", F.lit("Unresolved")).otherwise(before)
+    before = or_unresolved(clean_text(original))
     res = results.select(
         F.col("unit_id").alias("_u"),
         F.col("canonical_craton").alias(f"{region}_AI"),

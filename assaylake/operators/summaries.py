@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_col, ratio_nz, ratio_pos
-from ..functions.text import clean_text, is_archean
+from ..functions.text import clean_text, is_archean, or_unresolved
 from .dedup import unit_key
 from .ordering import attach, exact_median, exact_quantiles
 
@@ -512,10 +512,9 @@ def build_units(
     the aggregation.
     """
     present = {o: s for o, s in specs.items() if s[0] in df.columns}
-    name = clean_text(region)
     keyed = df.select(
         clean_text(source).alias("SOURCE_DATASET"),
-        F.when(name == "", F.lit("Unresolved")).otherwise(name).alias("current_craton"),
+        or_unresolved(clean_text(region)).alias("current_craton"),
         *[clean_text(s[0]).alias(o) for o, s in present.items()],
     )
     keys = ["SOURCE_DATASET", "current_craton"]
