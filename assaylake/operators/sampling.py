@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import as_col, sample_hash
 from .filters import class_quantile_band
-from .ordering import attach, exact_quantiles, hash_rank
+from .ordering import attach, hash_rank
 
 
 def _clean(df: DataFrame, *extra: str) -> DataFrame:
@@ -236,7 +236,3 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
         as_col(label), "count", (F.col("_w") / F.avg("_w").over(everything)).alias("weight")
     )
 
-
-def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles per group; see :func:`ordering.exact_quantiles`."""
-    return exact_quantiles(df, keys, value, probs)

@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .. import constants as K
 from ..functions.numeric import as_col, to_number
@@ -57,12 +58,16 @@ def score(
 
 
 def score_batches(
-    df: DataFrame, features: str, make_predict: Callable, batch_size: int = 256, out: str = "probs"
+    df: DataFrame, features: str, make_predict: Callable, width: int, batch_size: int = 256,
+    out: str = "probs",
 ) -> DataFrame:
-    """Probabilities of an injected predictor that maps an (n, d) array to (n, classes)."""
+    """Probabilities of an injected predictor that maps an (n, width) array to (n, classes).
+
+    ``make_predict`` is called once per worker and returns the predictor.
+    """
     predict = predict_batch_udf(
-        make_predict, return_type="array<double>", batch_size=batch_size,
-        input_tensor_shapes=None,
+        make_predict, return_type=ArrayType(DoubleType()), batch_size=batch_size,
+        input_tensor_shapes=[[width]],
     )
     return df.withColumn(out, predict(vector_to_array(features)))
 

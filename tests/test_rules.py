@@ -158,3 +158,36 @@ def test_oversampling_targets():
     assert balance.parse_targets("x=y=3\n\n b = 2") == {"x=y": 3, "b": 2}
     with pytest.raises(ValueError):
         balance.parse_targets("nope")
+
+
+def test_injected_predictor(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from assaylake.operators import score
+
+    def make():
+        import numpy as np
+
+        return lambda x: np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+
+    df = spark.createDataFrame([(i, Vectors.dense([float(i), 0.0])) for i in range(5)], ["id", "features"])
+    rows = score.score_batches(df, "features", make, 2, batch_size=2).collect()
+    assert all(r.probs[0] + r.probs[1] == pytest.approx(1.0) for r in rows)
+    named = score.add_prediction_columns(
+        spark.createDataFrame([([0.5, 0.5], [0.05, 0.0])], "p array<double>, s array<double>"), "p", ["x", "y"], "s", ["x"])
+    assert one(named).confidence_tier == "high" and one(named).pred_class_name == "x"
+
+
+def test_calibration_edge_belongs_to_lower_bin(spark):
+    from assaylake.operators import evaluate
+
+    df = spark.createDataFrame([(0, [0.1] * 10)], "y int, probs array<double>")
+    assert one(evaluate.ece(df, "y", "probs")).ece == pytest.approx(0.9)
+
+
+def test_unit_results(spark):
+    df = spark.createDataFrame([("s", " Old  name "), ("s", None)], "SOURCE_DATASET string, Craton string")
+    res = spark.createDataFrame([("s|Old name", "New", "CRATON", "medium", "r")],
+                                "unit_id string, canonical_craton string, status string, confidence string, reason string")
+    rows = {r.Craton_original: r for r in dedup.apply_unit_results(df, res).collect()}
+    assert rows[" Old  name "].Craton == "New" and rows[None].Craton == "Unresolved" and rows[None].Craton_AI == ""
