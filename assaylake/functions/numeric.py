@@ -106,9 +106,10 @@ def sample_hash(sample_id: str | Column, seed: int) -> Column:
     Plain integer arithmetic, so any SQL engine gives the same draw for the same seed.
     """
     i = as_col(sample_id).cast("bigint")
-    return (
-        (i % F.lit(1000003)) * F.lit(7919) + (i % F.lit(999983)) * F.lit(104729) + F.lit(seed)
-    ) % F.lit(HASH_SPAN)
+    return F.pmod(
+        (i % F.lit(1000003)) * F.lit(7919) + (i % F.lit(999983)) * F.lit(104729) + F.lit(seed),
+        F.lit(HASH_SPAN),
+    )
 
 
 def draw_hash(sample_id: str | Column, draw: str | Column, seed: int) -> Column:
@@ -118,8 +119,9 @@ def draw_hash(sample_id: str | Column, draw: str | Column, seed: int) -> Column:
     """
     i, j = as_col(sample_id).cast("bigint"), as_col(draw).cast("bigint")
     m = F.lit(HASH_SPAN)
-    x = ((i % F.lit(1000003)) * F.lit(7919) + (i % F.lit(999983)) * F.lit(104729)
-         + (j % F.lit(1000003)) * F.lit(15485863) + F.lit(seed)) % m
+    x = F.pmod(
+        (i % F.lit(1000003)) * F.lit(7919) + (i % F.lit(999983)) * F.lit(104729)
+        + (j % F.lit(1000003)) * F.lit(15485863) + F.lit(seed), m)
     y = (x * x + j * F.lit(48271) + F.lit(12345)) % m
     z = (y * y + x) % m
     return z

@@ -96,9 +96,12 @@ def _a(spark, sf):
     return X.extract_source_a(raw_a(spark, sf), _references(spark, sf), cap=300)
 
 
-@register("p1_extract_source_a", _P1_SQL.replace(
-    "C AS (SELECT sample_id, CASE WHEN l_partkey % 13 <> 0 THEN " + _CITE.format(s="VARCHAR") + " END AS cit FROM S)", "C AS (SELECT cit FROM CAP)"),
-    " ".join(K.LONG_FEATURES))
+_P1_SQL = _P1_SQL.replace(
+    "C AS (SELECT sample_id, CASE WHEN l_partkey % 13 <> 0 THEN " + _CITE.format(s="VARCHAR") + " END AS cit FROM S)",
+    "C AS (SELECT cit FROM CAP)")
+
+
+@register("p1_extract_source_a", _P1_SQL, " ".join(K.LONG_FEATURES))
 def p1(spark, sf):
     return _a(spark, sf)
 
@@ -150,7 +153,15 @@ def p2b(spark, sf):
     return _b(spark, sf)[1]
 
 
-@register("p3_merge_and_split")
+_P3_SQL = f"""SELECT split, "TECTONIC SETTING", CASE split WHEN 'test' THEN t ELSE c - t END AS count,
+  round(CASE split WHEN 'test' THEN t ELSE c - t END*100.0/sum(CASE split WHEN 'test' THEN t ELSE c - t END) OVER (PARTITION BY split), 4) AS percent FROM (
+    SELECT "TECTONIC SETTING", c, CAST(base + CASE WHEN row_number() OVER (ORDER BY want - base DESC, "TECTONIC SETTING") <= goal - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS t FROM (
+      SELECT "TECTONIC SETTING", c, goal, c*goal/n AS want, floor(c*goal/n) AS base FROM (
+        SELECT "TECTONIC SETTING", count(*) AS c, sum(count(*)) OVER () AS n, ceil(sum(count(*)) OVER () * 0.2) AS goal FROM (
+          SELECT "TECTONIC SETTING" FROM ({_P1_SQL}) a UNION ALL SELECT "TECTONIC SETTING" FROM ({_P2_SQL}) b) u GROUP BY 1) x) y) z, (VALUES ('train'), ('test')) AS v(split)"""
+
+
+@register("p3_merge_and_split", _P3_SQL, "percent")
 def p3(spark, sf):
     both = X.merge_and_split([_a(spark, sf), _b(spark, sf)[0].withColumn(ID, -F.col(ID))])
     return split_summary(both, "TECTONIC SETTING")
@@ -222,7 +233,18 @@ def _pool(spark, sf):
     return P.expanded_pool(_short(spark, sf).where(F.expr(f"{ID} % 3 <> 0")), second)
 
 
-@register("p5_expanded_pool_counts")
+_KEY36 = "concat_ws('|', " + ", ".join(
+    f"CAST(coalesce(round_even(({_closed_sql(c) if c in K.MAJORS else c})*1000.0, 0)/1000.0, -999999.0) AS VARCHAR)" for c in K.SHORT_FEATURES) + ")"
+_GATED = f"36 - {_PRESENT} < 18 AND {_closed_sql('SIO2')} BETWEEN 44 AND 54 AND {_closed_sql('MGO')} <= 18"
+_P5_SQL = f"""SELECT * FROM (WITH {_RAW_SQL}, {_SHORT_SQL},
+  A AS (SELECT {_KEY36} AS k FROM SH WHERE sample_id % 3 <> 0 AND {_GATED}),
+  D AS (SELECT {_KEY36} AS k FROM FE WHERE sample_id % 3 = 0 AND contains(age, 'ARCHEAN') AND {_GATED}),
+  U AS (SELECT k FROM A UNION ALL SELECT k FROM D)
+  SELECT (SELECT count(*) - count(DISTINCT k) FROM U) AS removed, (SELECT count(DISTINCT k) FROM U) AS pool_rows, (SELECT count(*) - count(DISTINCT k) FROM A) AS first_internal,
+    (SELECT count(*) - count(DISTINCT k) FROM D) AS second_internal, (SELECT count(*) FROM D WHERE k IN (SELECT k FROM A)) AS cross_source) q"""
+
+
+@register("p5_expanded_pool_counts", _P5_SQL)
 def p5(spark, sf):
     return _pool(spark, sf)[1]
 
