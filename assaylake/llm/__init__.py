@@ -5,14 +5,20 @@ Nothing else in the library imports this subpackage.
 
 from __future__ import annotations
 
-from . import simhash
+from . import language, lines, mixing, packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_line_dedup": lines.op2_line_dedup,
+        "op3_mixing": mixing.op3_mixing,
         "op5_simhash": simhash.op5_simhash,
+        "op7_language": language.op7_language,
+        "op8_packing": packing.op8_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_mixing": mixing.OP3_SQL,
+    }

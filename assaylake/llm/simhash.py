@@ -118,3 +118,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select(
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of every component the document with the smallest doc_id stays.
+
+    Rows that repeat a doc_id are one document and stay alike; a document without a doc_id stays.
+    """
+    groups = simhash_groups(docs)
+    gone = groups.where("key IS NOT NULL AND key <> component").select(F.col("key").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
