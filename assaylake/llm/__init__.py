@@ -5,16 +5,18 @@ Nothing else in the library imports this subpackage.
 
 from __future__ import annotations
 
-from . import language, lines, mixing, packing, simhash
+from . import language, lines, mixing, packing, perplexity_rules, quality_model, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality_model.op1_quality,
         "op2_line_dedup": lines.op2_line_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op5_simhash": simhash.op5_simhash,
         "op7_language": language.op7_language,
         "op8_packing": packing.op8_packing,
+        "op10_quality_rules": perplexity_rules.op10_quality_rules,
     }
 
 
