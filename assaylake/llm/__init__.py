@@ -26,6 +26,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": lines.OP2_SQL,
         "op3_mixing": mixing.OP3_SQL,
         "op4_topk": topk.OP4_SQL,
     }

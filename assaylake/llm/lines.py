@@ -257,3 +257,22 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: line dedup of the stage's own documents."""
     return dedup_lines(docs)
+
+
+#: DuckDB measures edits in bytes; letters beyond ASCII are mapped to unused control characters first.
+_WIDE = "ßáäçèéêíñóöúüÓÑÉÈÊÇÄÖÜÁÍÚ"
+_NARROW = " || ".join(f"chr({n})" for n in [*range(1, 9), *range(14, 32)][:len(_WIDE)])
+
+OP2_SQL = rf"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)
+      WHERE length(ls[i]) >= 20 AND regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
+c AS (SELECT line, min(row(doc_id, pos)) AS first, count(*) AS n_copies, length(line) AS n, translate(line, '{_WIDE}', {_NARROW}) AS t
+      FROM l GROUP BY line),
+p AS (SELECT a.line AS one, b.line AS other, a.first AS first, b.first AS other_first FROM c a JOIN c b
+      ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND levenshtein(a.t, b.t) <= 2),
+k AS (SELECT one, count(*) AS n_links, bool_or(other_first < first) AS later FROM p GROUP BY one)
+SELECT l.doc_id, l.pos + 1 AS line_no, c.first[1] AS class_doc_id, c.first[2] + 1 AS class_line_no, c.n_copies,
+  coalesce(k.n_links, 0) AS n_links, row(l.doc_id, l.pos) = c.first AND NOT coalesce(k.later, FALSE) AS kept
+FROM l JOIN c USING (line) LEFT JOIN k ON k.one = l.line
+"""

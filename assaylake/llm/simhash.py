@@ -57,6 +57,10 @@ def _mask(bits: int) -> Column:
     return F.lit(-1 if bits >= 64 else (1 << bits) - 1).cast("long")
 
 
+def _bit(at: int) -> Column:
+    return F.lit((1 << at) - ((1 << 64) if at == 63 else 0)).cast("long")
+
+
 def near_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """All pairs (a, b), a < b, of distinct values of ``fp`` that differ in at most ``max_bits`` bits.
 
@@ -77,7 +81,7 @@ def near_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         first, second = width[i], width[(i + 1) % parts]
         key = _turned(fp, starts[i]).bitwiseAND(_mask(first + second))
         index.append(F.struct(F.lit(i).alias("i"), key.alias("k")))
-        flips = [key] + [key.bitwiseXOR(F.lit(1 << (first + f)).cast("long")) for f in range(second)]
+        flips = [key] + [key.bitwiseXOR(_bit(first + f)) for f in range(second)]
         probe += [F.struct(F.lit(i).alias("i"), k.alias("k")) for k in flips]
     distinct = fps.select("fp").where(fp.isNotNull()).distinct()
     left = distinct.select(fp.alias("a"), F.inline(F.array(*index)))
