@@ -62,7 +62,7 @@ class Spectrum:
     """Distinct hashed n-grams of lengths 1 to ``longest`` of a whole text, read in pieces."""
 
     def __init__(self, longest: int):
-        self.longest, self.seen, self.points = longest, np.zeros(BUCKETS, np.uint8), _letters()
+        self.longest, self.seen, self.points = longest, np.zeros(BUCKETS, bool), _letters()
 
     def codes(self, text: str | None) -> np.ndarray | None:
         """Ascending buckets, or None for a text without a letter."""
@@ -85,15 +85,15 @@ class Spectrum:
                     break
                 code = (code[:m] ^ p[n - 1:n - 1 + m]) * np.uint32(0x9E3779B1) + np.uint32(n)
                 bucket = (code ^ (code >> np.uint32(15))) >> np.uint32(3) & np.uint32(BUCKETS - 1)
-                self.seen[bucket] = 1
+                self.seen[bucket] = True
                 if len(text) <= _STEP:
                     found.append(bucket)
             tail = p[-(self.longest - 1):] if self.longest > 1 else p[:0]
         hit = np.flatnonzero(self.seen) if any_letter else None
         if len(text) > _STEP:
-            self.seen[:] = 0
+            self.seen[:] = False
         for bucket in found:
-            self.seen[bucket] = 0
+            self.seen[bucket] = False
         return hit
 
 

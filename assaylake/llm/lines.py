@@ -234,17 +234,17 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, text: str = "
     A document none of whose lines with a word is left goes; documents that had none to begin with
     (null, empty, blank) stay as they are.
     """
-    drops = mark_lines(docs, params, text, key).where(~F.col("kept")).groupBy("key").agg(F.collect_set("pos").alias("_drops"))
-    drops = drops.withColumnRenamed("key", "_drop_key")
-    parts = F.split(text, "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drops")), lambda i: F.get(parts, i))
-    out = docs.join(drops, F.col(key).cast("long").eqNullSafe(F.col("_drop_key")), "left")
-    changed = F.col("_drops").isNotNull()
-    out = out.withColumn(text, F.when(changed, F.array_join(left, "\n")).otherwise(F.col(text)))
-    out = out.where(~changed | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    drops = mark_lines(docs, params, text, key).where(~F.col("kept")).groupBy(F.col("key").alias("of")).agg(F.collect_set("pos").alias("drops"))
+    own = {c: F.col("row")[c] for c in docs.columns}  # under one name, so that no column can clash
+    out = docs.select(F.struct("*").alias("row")).join(drops, own[key].cast("long").eqNullSafe(F.col("of")), "left")
+    parts, changed = F.split(own[text], "\n"), F.col("drops").isNotNull()
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drops")), lambda i: F.get(parts, i))
+    out = out.select("row", changed.alias("changed"), F.when(changed, F.array_join(left, "\n")).otherwise(own[text]).alias("left"))
+    out = out.where(~F.col("changed") | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    own[text] = F.col("left")
     if length and length in docs.columns:
-        out = out.withColumn(length, F.when(changed, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return out.select(*docs.columns)
+        own[length] = F.when(F.col("changed"), F.length("left").cast(docs.schema[length].dataType)).otherwise(own[length])
+    return out.select(*[c.alias(n) for n, c in own.items()])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,10 +136,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as it is drawn (not at all, once or up to the repeat limit)."""
-    drawn = mix_sources(docs).groupBy(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("n_tokens").alias("_n")) \
-        .agg(F.countDistinct("epoch").alias("_times"))
-    on = F.col("doc_id").eqNullSafe(F.col("_key")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count("text") == F.col("_n"))
-    return docs.join(drawn, on).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    drawn = mix_sources(docs).groupBy("key", "source", "n_tokens").agg(F.countDistinct("epoch").cast("int").alias("times"))
+    row = F.col("row")  # under one name, so that no column can clash
+    on = row["doc_id"].eqNullSafe(F.col("key")) & row["source"].eqNullSafe(F.col("source")) & (word_count(row["text"]) == F.col("n_tokens"))
+    return docs.select(F.struct("*").alias("row")).join(drawn, on) \
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 OP3_SQL = r"""

@@ -130,5 +130,5 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that repeat a doc_id are one document and stay alike; a document without a doc_id stays.
     """
     groups = simhash_groups(docs)
-    gone = groups.where("key IS NOT NULL AND key <> component").select(F.col("key").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = groups.where("key IS NOT NULL AND key <> component").select("key").distinct()
+    return docs.select(F.struct("*").alias("row")).join(gone, F.col("row")["doc_id"] == F.col("key"), "left_anti").select("row.*")

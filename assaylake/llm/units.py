@@ -116,7 +116,7 @@ def repeated_spans(docs: DataFrame, params: UnitParams | None = None, text: str
 
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents with their spans cut out and ``removed``, the spans' original offsets, added."""
-    cuts = spans.groupBy(F.col("key").alias("_of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    cuts = spans.groupBy(F.col("key").alias("of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
         def one(t, spans_):
@@ -129,8 +129,10 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str
             return "".join(kept) + t[at:]
         return pd.Series([one(t, r) for t, r in zip(texts, removed)], dtype=object)
 
-    joined = docs.join(cuts, F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of")
-    return joined.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.pandas_udf(cut, "string")(text, "removed")))
+    row = {c: F.col("row")[c] for c in docs.columns}  # under one name, so that no column can clash
+    joined = docs.select(F.struct("*").alias("row")).join(cuts, row[key].eqNullSafe(F.col("of")), "left")
+    row[text] = F.when(F.col("removed").isNull(), row[text]).otherwise(F.pandas_udf(cut, "string")(row[text], F.col("removed")))
+    return joined.select(*[c.alias(n) for n, c in row.items()], "removed")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
