@@ -100,16 +100,24 @@ def resolve_age(columns: Sequence[str], available: Sequence[str], in_ga: bool =
     return age / F.lit(1000.0) if in_ga else age
 
 
+def id_number(sample_id: str | Column) -> Column:
+    """A whole number for a row id: the id itself if it is one, else 60 bits of its text's digest."""
+    c = as_col(sample_id)
+    return F.coalesce(c.try_cast("bigint"), _digest_bits(c.cast("string")))
+
+
+def _digest_bits(text: Column) -> Column:
+    """The first 60 bits of the MD5 digest of a text, as a whole number."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def sample_hash(sample_id: str | Column, seed: int) -> Column:
-    """Engine-neutral pseudo-random order key in [0, 2147483647) for a row id.
+    """Pseudo-random order key in [0, 2**60) for a row id of any type.
 
-    Plain integer arithmetic, so any SQL engine gives the same draw for the same seed.
+    Digest bits of seed and id: neighbouring ids and different seeds give unrelated keys, and any
+    SQL engine gives the same draw for the same seed.
     """
-    i = as_col(sample_id).cast("bigint")
-    return F.pmod(
-        (i % F.lit(1000003)) * F.lit(7919) + (i % F.lit(999983)) * F.lit(104729) + F.lit(seed),
-        F.lit(HASH_SPAN),
-    )
+    return _digest_bits(F.concat(F.lit(f"{seed}|"), as_col(sample_id).cast("string")))
 
 
 def draw_hash(sample_id: str | Column, draw: str | Column, seed: int) -> Column:
@@ -117,7 +125,7 @@ def draw_hash(sample_id: str | Column, draw: str | Column, seed: int) -> Column:
 
     Two squaring steps, so that draws of different rows are not shifted copies of each other.
     """
-    i, j = as_col(sample_id).cast("bigint"), as_col(draw).cast("bigint")
+    i, j = id_number(sample_id), as_col(draw).cast("bigint")
     m = F.lit(HASH_SPAN)
     x = F.pmod(
         (i % F.lit(1000003)) * F.lit(7919) + (i % F.lit(999983)) * F.lit(104729)
@@ -127,4 +135,11 @@ def draw_hash(sample_id: str | Column, draw: str | Column, seed: int) -> Column:
     return z
 
 
+def wide_draw(sample_id: str | Column, draw: int, seed: int) -> Column:
+    """Two draws side by side: a pseudo-random integer of 62 bits, for remainders by large counts."""
+    high, low = draw_hash(sample_id, F.lit(draw), seed), draw_hash(sample_id, F.lit(draw), seed + 7368787)
+    return high * F.lit(HASH_SPAN).cast("bigint") + low
+
+
 HASH_SPAN = 2147483647
+SAMPLE_BITS = 60

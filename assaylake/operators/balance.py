@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import constants as K
-from ..functions.numeric import HASH_SPAN, as_col, draw_hash, sample_hash
+from ..functions.numeric import HASH_SPAN, as_col, draw_hash, sample_hash, wide_draw
 from .dedup import union_all
 from .impute import Scaler, fit_scaler
 from .neighbours import PivotIndex, nearest_vectors
@@ -60,7 +61,7 @@ def smote(
     """Lift labels to their target with points between a row and one of its k neighbours.
 
     Adds ``is_synthetic``.  Synthetic rows carry features, label and a negative id; all other
-    columns are NULL.  With ``standardize`` distances and interpolation use standardised
+    columns are NULL (text ids are ``synthetic-1`` and so on).  With ``standardize`` distances and interpolation use standardised
     features and results are clipped at 0.  Base row, neighbour and position are hash draws, so
     the result does not depend on partitioning.
     """
@@ -105,7 +106,7 @@ def _synthetic(
     ranked = hash_rank(points, [], sample_hash(id_col, seed), id_col).select("_rank", "point")
     draws = members.sparkSession.range(deficit).select(
         F.col("id").alias("_j"),
-        (draw_hash("id", F.lit(0), seed) % F.lit(rows) + 1).alias("_rank"),
+        (wide_draw("id", 0, seed) % F.lit(rows) + 1).alias("_rank"),
         (draw_hash("id", F.lit(1), seed) % F.lit(k)).cast("int").alias("_pick"),
         (draw_hash("id", F.lit(2), seed) / F.lit(float(HASH_SPAN))).alias("_u"),
     )
@@ -126,8 +127,11 @@ def _synthetic(
     ]
     if clip:
         restored = [F.greatest(v, F.lit(0.0)) for v in restored]
+    made_id = -(F.col("_j") + F.lit(first_id))
+    if members.schema[id_col].dataType == StringType():
+        made_id = F.concat(F.lit("synthetic"), made_id.cast("string"))
     return mixed.select(
-        (-(F.col("_j") + F.lit(first_id))).alias(id_col),
+        made_id.alias(id_col),
         *[v.alias(c) for c, v in zip(cols, restored)],
         F.lit(name).alias(label),
         F.lit(True).alias("is_synthetic"),

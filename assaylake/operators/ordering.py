@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import HASH_SPAN, as_col
+from ..functions.numeric import SAMPLE_BITS, as_col
 
 _STEPS = 1024  # buckets per doubling of the value
 
@@ -223,18 +223,19 @@ def hash_rank(
     tie: str,
     name: str = "_rank",
     keep_below: Column | None = None,
-    buckets: int = 4096,
+    bucket_bits: int = 12,
 ) -> DataFrame:
     """1-based rank of every row in its group, ordered by a uniform hash.
 
-    ``order`` must be a whole number spread evenly over [0, 2147483647).  ``keep_below`` drops
+    ``order`` must be a whole number spread evenly over [0, 2**60); ``bucket_bits`` leading bits cut
+    a group into buckets (raise them for groups of many billion rows).  ``keep_below`` drops
     whole buckets whose first rank is above the wanted one before anything is sorted; the
     column may use ``n`` (rows of the group).  Adds ``name`` and ``n``.
     """
     keys = list(keys)
     key_cols = [as_col(k) for k in keys]
     base = df.withColumn("_h", order).withColumn(
-        "_hb", F.floor(F.col("_h") * F.lit(buckets) / F.lit(HASH_SPAN)).cast("int")
+        "_hb", F.shiftright("_h", SAMPLE_BITS - bucket_bits).cast("int")
     )
     per_group = Window.partitionBy(*(key_cols or [F.lit(0)]))
     before = per_group.orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)

@@ -181,7 +181,7 @@ VIEWS = {
 
 def hash_sql(seed: int, key: str = "sample_id") -> str:
     """The sampling hash as SQL."""
-    return f"(({key} % 1000003) * 7919 + ({key} % 999983) * 104729 + {seed}) % {SPAN}"
+    return f"CAST('0x' || substr(md5('{seed}|' || CAST({key} AS VARCHAR)), 1, 15) AS BIGINT)"
 
 
 def draw_sql(key: str, draw: str, seed: int) -> str:
