@@ -205,10 +205,11 @@ def pending_units(units: DataFrame, done: DataFrame) -> DataFrame:
     return units.join(done.select("unit_id"), "unit_id", "left_anti")
 
 
-def sanitize_labels(df: DataFrame, text: str | None = None) -> DataFrame:
+def sanitize_labels(df: DataFrame, text: str | None = None, reason_chars: int | None = None) -> DataFrame:
     """Constrain the four result fields to their vocabularies, with defaults.
 
-    ``text`` names a JSON column holding the fields; without it they are plain columns.
+    ``text`` names a JSON column holding the fields; without it they are plain columns.  Reasons
+    stay whole unless ``reason_chars`` asks for their beginning only.
     """
     fields = ["canonical_craton", "status", "confidence", "reason"]
     if text is not None:
@@ -227,7 +228,7 @@ def sanitize_labels(df: DataFrame, text: str | None = None) -> DataFrame:
             "canonical_craton": name,
             "status": status,
             "confidence": confidence,
-            "reason": F.substring(clean_text("reason"), 1, 160),
+            "reason": clean_text("reason") if reason_chars is None else F.substring(clean_text("reason"), 1, reason_chars),
         }
     )
 

@@ -151,9 +151,10 @@ def label_problems(df: DataFrame, label: str, at_least: int) -> DataFrame:
 def validate_labels(df: DataFrame, label: str, at_least: int = 5) -> DataFrame:
     if label not in df.columns:
         raise KeyError(f"label column is missing: {label}")
-    problems = label_problems(df, label, at_least).limit(20).collect()
-    if problems:
-        raise ValueError(f"labels missing or too rare: {[(r.label, r.n) for r in problems]}")
+    problems = label_problems(df, label, at_least).orderBy("label")
+    some = problems.take(20)
+    if some:
+        raise ValueError(f"{problems.count()} labels missing or too rare, first: {[(r.label, r.n) for r in some]}")
     return df
 
 

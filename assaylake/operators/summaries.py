@@ -325,8 +325,8 @@ def counterfactual_summary(
 def share_by_missing(
     df: DataFrame, count: str, flag: Column, edges: Sequence[int] = (-1, 0, 5, 10, 15, 19)
 ) -> DataFrame:
-    """Percent of flagged rows per bin of missing cells, bins open on the left."""
-    label = F.lit(None).cast("string")
+    """Percent of flagged rows per bin of missing cells, bins open on the left; the last has no end."""
+    label = F.when(as_col(count) > edges[-1], F.lit(f"({edges[-1]}, inf)"))
     for lo, hi in zip(edges[:-1], edges[1:]):
         inside = (as_col(count) > lo) & (as_col(count) <= hi)
         label = F.when(inside, F.lit(f"({lo}, {hi}]")).otherwise(label)
@@ -501,15 +501,18 @@ def archean_stats(raw: DataFrame, consolidated: DataFrame, age: str, prefix: str
     return attach(count(raw, "raw"), count(consolidated, "consolidated"), [])
 
 
+_ALL = 2147483647  # no limit
+
+
 def build_units(
-    df: DataFrame, specs: Mapping[str, tuple[str, int, int]], source: str = "SOURCE_DATASET",
+    df: DataFrame, specs: Mapping[str, tuple[str, int | None, int | None]], source: str = "SOURCE_DATASET",
     region: str = "Craton",
 ) -> DataFrame:
     """Evidence per (source, region): rows and the most frequent cleaned texts of some columns.
 
-    ``specs`` maps an output column to (input column, how many texts, text length).  Ties go
-    by text.  Texts are counted first; ranking sees distinct texts only, and is limited inside
-    the aggregation.
+    ``specs`` maps an output column to (input column, how many texts, text length); None keeps all
+    texts, or whole ones.  Ties go by text.  Texts are counted first; ranking sees distinct texts
+    only, and is limited inside the aggregation.
     """
     present = {o: s for o, s in specs.items() if s[0] in df.columns}
     keyed = df.select(
@@ -520,8 +523,8 @@ def build_units(
     keys = ["SOURCE_DATASET", "current_craton"]
     units = keyed.groupBy(*keys).agg(_n().alias("n_samples"))
     cells = F.explode(F.array(*[
-        F.struct(F.lit(o).alias("kind"), F.col(o).alias("text"), F.lit(s[1]).alias("top"),
-                 F.lit(s[2]).alias("width"))
+        F.struct(F.lit(o).alias("kind"), F.col(o).alias("text"), F.lit(_ALL if s[1] is None else s[1]).alias("top"),
+                 F.lit(_ALL if s[2] is None else s[2]).alias("width"))
         for o, s in present.items()
     ]))
     texts = (

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.numeric import HASH_SPAN, as_col, draw_hash, sample_hash
+from ..functions.numeric import HASH_SPAN, as_col, draw_hash, id_number, sample_hash
 from .filters import unpivot
 from .ordering import attach, exact_quantiles, hash_rank
 
@@ -30,15 +31,15 @@ def poisson_one(h: Column) -> Column:
 
 def weighted_bootstrap(
     df: DataFrame, by: Sequence[str], value: str, weight: str | None = None, reps: int = 2000,
-    seed: int = 20240611, id_col: str = "sample_id", method: str = "auto", exact_upto: int = 10000,
+    seed: int = 20240611, id_col: str = "sample_id", method: str = "poisson",
 ) -> DataFrame:
     """Weighted mean per group with bootstrap deviation and 95 % interval.
 
     Rows need a value and a weight above 0; groups below three rows get counts only.
-    ``multinomial`` draws n rows with replacement per replicate; ``poisson`` gives every row an
-    independent Poisson count per replicate, which needs no join and approaches the former for
-    large groups; ``auto`` is exact up to ``exact_upto`` rows per group.  Draws depend on the
-    row id and the replicate only.
+    ``poisson``, the method for groups of any size, gives every row an independent Poisson count
+    per replicate: tasks sum per group and replicate, and only these sums are shuffled.
+    ``multinomial`` draws exactly n rows with replacement per replicate; it shuffles rows times
+    replicates, so it is for small tables.  Draws depend on the row id and the replicate only.
     """
     w = as_col(weight) if weight else F.lit(1.0)
     keys = list(by)
@@ -58,10 +59,6 @@ def weighted_bootstrap(
         means = _poisson_means(sized, keys, reps, seed)
     elif method == "multinomial":
         means = _multinomial_means(sized, keys, reps, seed)
-    elif method == "auto":
-        means = _multinomial_means(sized.where(F.col("_n") <= exact_upto), keys, reps, seed).unionByName(
-            _poisson_means(sized.where(F.col("_n") > exact_upto), keys, reps, seed)
-        )
     else:
         raise ValueError(f"unknown method: {method}")
     # One value per replicate and group: bounded by ``reps``.
@@ -85,12 +82,59 @@ def _replicate_mean() -> Column:
     ).alias("_mean")
 
 
+_GROUPS_HELD = 256  # groups whose sums a task holds before it passes them on
+
+
+def _poisson_sums(ids: np.ndarray, x: np.ndarray, w: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """Sums of count*weight*value and count*weight per replicate; counts as ``poisson_one(draw_hash)``."""
+    sums, cdf = np.zeros((2, reps)), np.array(POISSON_ONE_CDF)
+    j = np.arange(1, reps + 1, dtype=np.int64)[None, :]
+    for at in range(0, len(ids), 512):
+        i = ids[at:at + 512, None]
+        h = (np.fmod(i, 1000003) * 7919 + np.fmod(i, 999983) * 104729 + j * 15485863 + seed) % HASH_SPAN
+        y = (h * h + j * 48271 + 12345) % HASH_SPAN
+        u = ((y * y + h) % HASH_SPAN) / float(HASH_SPAN)
+        count = np.searchsorted(cdf, u, side="right").astype(float)
+        weight = w[at:at + 512]
+        sums += np.stack([weight * x[at:at + 512], weight]) @ count
+    return sums
+
+
 def _poisson_means(rows: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
-    drawn = rows.select(
-        *[as_col(k) for k in keys], "_id", "_x", "_w",
-        F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep"),
-    ).withColumn("_c", poisson_one(draw_hash("_id", "_rep", seed)))
-    return drawn.where(F.col("_c") > 0).groupBy(*[as_col(k) for k in keys], "_rep").agg(_replicate_mean())
+    """One sum pair per group, replicate and task goes through the shuffle, whatever the rows."""
+    if reps >= 1000003:
+        raise ValueError("at most 1,000,002 replicates")
+    names = [*keys, "_rep", "_a", "_b"]
+    given = rows.select(*[as_col(k) for k in keys], id_number("_id").alias("_id"), "_x", "_w")
+    schema = StructType([given.schema[k] for k in keys]).add("_rep", "integer").add("_a", "double").add("_b", "double")
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame({"_rep": np.tile(np.arange(1, reps + 1), len(held)), "_a": np.concatenate([v[1][0] for v in held.values()]),
+                                "_b": np.concatenate([v[1][1] for v in held.values()])})
+            for c in keys:
+                out[c] = pd.concat([v[0][c] for v in held.values()]).repeat(reps).to_numpy()
+            held.clear()
+            return out[names]
+
+        for batch in batches:
+            groups = batch.groupby(list(keys), dropna=False, sort=False) if keys else [((), batch)]
+            for key, part in groups:
+                sums = _poisson_sums(part["_id"].to_numpy(np.int64), part["_x"].to_numpy(), part["_w"].to_numpy(), reps, seed)
+                key = tuple(None if k != k else k for k in key)  # NaN and null alike
+                if key in held:
+                    held[key][1] += sums
+                else:
+                    held[key] = [part.iloc[:1], sums]
+                if len(held) >= _GROUPS_HELD:
+                    yield flush()
+        if held:
+            yield flush()
+
+    sums = given.mapInPandas(each, schema).groupBy(*[as_col(k) for k in keys], "_rep").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    return sums.where(F.col("_b") > 0).select(*[as_col(k) for k in keys], "_rep", F.try_divide("_a", "_b").alias("_mean"))
 
 
 def _multinomial_means(rows: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
@@ -106,13 +150,32 @@ def _multinomial_means(rows: DataFrame, keys: Sequence[str], reps: int, seed: in
     return hit.groupBy(*key_cols, "_rep").agg(_replicate_mean())
 
 
+def binomial_quantiles(n: int, p: float, levels: Sequence[float]) -> list[int]:
+    """Smallest counts whose distribution function reaches each level; exact up to rounding.
+
+    Terms are built from the most likely count outwards by the ratio of neighbours, over the counts
+    that carry any weight in double precision: some tens of standard deviations, whatever ``n``.
+    """
+    if p <= 0 or p >= 1:
+        return [n if p >= 1 else 0] * len(levels)
+    reach = 40 * math.sqrt(n * p * (1 - p)) + 40
+    mode = min(n, int((n + 1) * p))
+    low, high = max(0, int(mode - reach)), min(n, int(mode + reach))
+    up, down = np.arange(mode, high), np.arange(mode, low, -1)
+    odds = math.log(p) - math.log1p(-p)
+    logs = np.concatenate([
+        np.cumsum(np.log(down) - np.log(n - down + 1) - odds)[::-1], [0.0], np.cumsum(np.log(n - up) - np.log(up + 1) + odds)])
+    mass = np.cumsum(np.exp(logs))
+    return [low + int(np.searchsorted(mass, level * mass[-1])) for level in levels]
+
+
 def proportion_ci(
-    df: DataFrame, by: Sequence[str], flag: Column | None = None, n: str | None = None,
-    k: str | None = None, reps: int = 2000, seed: int = 20240611,
+    df: DataFrame, by: Sequence[str], flag: Column | None = None, n: str | None = None, k: str | None = None,
 ) -> DataFrame:
-    """Share of flagged rows per group with a bootstrap interval.
+    """Share of flagged rows per group with its 95 % bootstrap interval.
 
-    Resampling n zeros and ones gives a binomial count, so only ``(n, k)`` per group is needed:
+    Resampling n zeros and ones gives a binomial count, so the interval is read from the binomial
+    distribution itself, the limit of ever more replicates, and only ``(n, k)`` per group is needed:
     rows are counted first, or ready counts are given by column name.
     """
     keys = [as_col(c) for c in by]
@@ -120,17 +183,13 @@ def proportion_ci(
         counts = df.groupBy(*keys).agg(F.count(flag).alias("n"), F.count_if(flag).alias("k"))
     else:
         counts = df.select(*keys, as_col(n).cast("bigint").alias("n"), as_col(k).cast("bigint").alias("k"))
-    counts = counts.where(F.col("n") > 0).withColumn("_key", F.xxhash64(*keys) if by else F.lit(0).cast("bigint"))
+    counts = counts.where(F.col("n") > 0)
 
     @F.pandas_udf("array<double>")
-    def interval(key: pd.Series, size: pd.Series, hits: pd.Series) -> pd.Series:
-        out = []
-        for a, m, s in zip(key, size, hits):
-            rng = np.random.default_rng([seed, int(a) & (2**63 - 1)])
-            out.append(np.percentile(rng.binomial(m, s / m, reps) / m, [2.5, 97.5]))
-        return pd.Series(out)
-
-    return counts.withColumn("_ci", interval("_key", "n", "k")).select(
+    def interval(size: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([[q / m for q in binomial_quantiles(int(m), s / m, (0.025, 0.975))] for m, s in zip(size, hits)])
+
+    return counts.withColumn("_ci", interval("n", "k")).select(
         *keys, "n", (F.col("k") / F.col("n")).alias("frac"),
         F.get("_ci", 0).alias("lo"), F.get("_ci", 1).alias("hi"),
     )

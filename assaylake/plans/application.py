@@ -250,7 +250,7 @@ def age_evidence(
         "ratios": ratio_stats,
         "proportions": U.proportion_ci(
             late.withColumn("age_mid_ga", F.col("age_bin.mid") / 1000.0), ["age_mid_ga"],
-            F.col("Arc_probability3") >= threshold, reps=reps, seed=seed),
+            F.col("Arc_probability3") >= threshold),
         "histogram": G.age_histogram(df, "_age", "Arc_probability3", threshold=threshold),
         "sensitivity": G.fixed_bins(
             df.withColumn("_r", F.try_divide(as_col(first[0]), as_col(first[1]))), "_age", "Arc_probability3", "_r"),

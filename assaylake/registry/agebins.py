@@ -164,7 +164,7 @@ def g22(spark, sf):
 
 
 @register("g23_share_by_missing",
-          f"""SELECT CASE WHEN missing_feature_count <= 0 THEN '(-1, 0]' WHEN missing_feature_count <= 5 THEN '(0, 5]' WHEN missing_feature_count <= 10 THEN '(5, 10]' WHEN missing_feature_count <= 15 THEN '(10, 15]' ELSE '(15, 19]' END AS missing_bin,
+          f"""SELECT CASE WHEN missing_feature_count <= 0 THEN '(-1, 0]' WHEN missing_feature_count <= 5 THEN '(0, 5]' WHEN missing_feature_count <= 10 THEN '(5, 10]' WHEN missing_feature_count <= 15 THEN '(10, 15]' WHEN missing_feature_count <= 19 THEN '(15, 19]' ELSE '(19, inf)' END AS missing_bin,
               count(*) AS n, {_share("pred_class_name = 'error'", '100.0*')} AS pct FROM E GROUP BY 1""", "pct", "E")
 def g23(spark, sf):
     return G.share_by_missing(scored(spark, sf), "missing_feature_count", F.col("pred_class_name") == "error")
@@ -211,20 +211,32 @@ def g28(spark, sf):
     return G.age_histogram(scored(spark, sf), "C_AGE", "Arc_probability3")
 
 
-_TEXTS = {"langs": ("lang", 2, 5), "starts": ("head", 4, 6)}
+_TEXTS = {"langs": ("lang", None, None), "starts": ("head", None, None)}
+_SHORT_TEXTS = {"langs": ("lang", 2, 5), "starts": ("head", 4, 6)}
 _TOP = ("(SELECT src, u, list(substring(t, 1, {w}) ORDER BY c DESC, t) AS l FROM (SELECT src, u, t, count(*) AS c, row_number() OVER (PARTITION BY src, u ORDER BY count(*) DESC, t) AS r "
         "FROM (SELECT src, u, {col} AS t FROM D) q WHERE t <> '' GROUP BY src, u, t) z WHERE r <= {k} GROUP BY 1, 2)")
 
 
-@register("g31_build_units",
-          f"""SELECT * FROM (WITH D AS (SELECT source AS src, CASE WHEN doc_id % 4 = 0 THEN 'Unresolved' ELSE concat('zone ', CAST(doc_id % 4 AS VARCHAR)) END AS u, lang, CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('head ', CAST(n_chars % 9 AS VARCHAR)) END AS head FROM documents)
+def _units_sql(tops, widths):
+    return f"""SELECT * FROM (WITH D AS (SELECT source AS src, CASE WHEN doc_id % 4 = 0 THEN 'Unresolved' ELSE concat('zone ', CAST(doc_id % 4 AS VARCHAR)) END AS u, lang, CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('head ', CAST(n_chars % 9 AS VARCHAR)) END AS head FROM documents)
               SELECT concat(n.src, '|', n.u) AS unit_id, n.src AS "SOURCE_DATASET", n.u AS current_craton, n.n AS n_samples, coalesce(a.l, []) AS langs, coalesce(b.l, []) AS starts
-              FROM (SELECT src, u, count(*) AS n FROM D GROUP BY 1, 2) n LEFT JOIN {_TOP.format(w=5, col='lang', k=2)} a ON n.src = a.src AND n.u = a.u LEFT JOIN {_TOP.format(w=6, col='head', k=4)} b ON n.src = b.src AND n.u = b.u) q""")
-def g31(spark, sf):
-    d = table(spark, sf, "documents").selectExpr(
+              FROM (SELECT src, u, count(*) AS n FROM D GROUP BY 1, 2) n LEFT JOIN {_TOP.format(w=widths[0], col='lang', k=tops[0])} a ON n.src = a.src AND n.u = a.u LEFT JOIN {_TOP.format(w=widths[1], col='head', k=tops[1])} b ON n.src = b.src AND n.u = b.u) q"""
+
+
+def _unit_rows(spark, sf):
+    return table(spark, sf, "documents").selectExpr(
         "source AS SOURCE_DATASET", "CASE WHEN doc_id % 4 = 0 THEN ' nan ' ELSE concat('zone  ', CAST(doc_id % 4 AS STRING)) END AS Craton", "lang",
         "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat(' head  ', CAST(n_chars % 9 AS STRING)) END AS head")
-    return G.build_units(d, _TEXTS)
+
+
+@register("g31_build_units", _units_sql((1000000, 1000000), (1000000, 1000000)))
+def g31(spark, sf):
+    return G.build_units(_unit_rows(spark, sf), _TEXTS)
+
+
+@register("g31_build_units_short", _units_sql((2, 4), (5, 6)))
+def g31_short(spark, sf):
+    return G.build_units(_unit_rows(spark, sf), _SHORT_TEXTS)
 
 
 def _runs(spark, sf):

@@ -404,18 +404,28 @@ def tags(spark, sf):
     return C.tag_component(samples(spark, sf), "m2", "lines", "low", "high").select("sample_id", "SOURCE_DATASET", "POOL_COMPONENT")
 
 
-@register("c31_sanitize_labels",
-          """SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 6 = 0 THEN 'Unresolved' ELSE concat('Name ', lang) END AS canonical_craton,
+_LABELS_SQL = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 6 = 0 THEN 'Unresolved' ELSE concat('Name ', lang) END AS canonical_craton,
              CASE WHEN doc_id % 3 = 0 THEN 'CRATON' WHEN doc_id % 3 = 1 THEN 'UNKNOWN' ELSE 'NOT_A_CRATON' END AS status,
-             CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, substring(repeat('abcdefghij', 10 + doc_id % 10), 1, 160) AS reason FROM documents""")
-def sanitized(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.expr(
+             CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, {reason} AS reason FROM documents"""
+
+
+def _answers(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.expr(
         """to_json(named_struct(
              'canonical_craton', CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 6 = 0 THEN 'Unresolved' ELSE concat('Name  ', lang) END,
              'status', CASE WHEN doc_id % 3 = 0 THEN ' craton' WHEN doc_id % 3 = 1 THEN 'odd' ELSE 'not_a_craton' END,
              'confidence', CASE WHEN doc_id % 2 = 0 THEN 'HIGH' ELSE 'sure' END,
              'reason', repeat('abcdefghij', cast(10 + doc_id % 10 as int))))""").alias("answer"))
-    return D.sanitize_labels(d, "answer").drop("answer")
+
+
+@register("c31_sanitize_labels", _LABELS_SQL.format(reason="repeat('abcdefghij', 10 + doc_id % 10)"))
+def sanitized(spark, sf):
+    return D.sanitize_labels(_answers(spark, sf), "answer").drop("answer")
+
+
+@register("c31_sanitize_labels_short", _LABELS_SQL.format(reason="substring(repeat('abcdefghij', 10 + doc_id % 10), 1, 160)"))
+def sanitized_short(spark, sf):
+    return D.sanitize_labels(_answers(spark, sf), "answer", reason_chars=160).drop("answer")
 
 
 # --- D: filters -------------------------------------------------------------------------------

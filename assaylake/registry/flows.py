@@ -89,11 +89,11 @@ _P1_SQL = f"""SELECT * FROM (WITH {_RAW_SQL},
   {_YEARS}
   SELECT CAP.sample_id, {_OUT36}, {_RECODE_A} AS "TECTONIC SETTING", CAST(longitude AS DOUBLE) AS longitude, CAST(latitude AS DOUBLE) AS latitude,
     CASE WHEN age IS NULL THEN '' ELSE split_part(age, ' [', 1) END AS "AGE", coalesce(nullif(years, ''), 'N/A') AS "PUBLICATION_YEAR"
-  FROM CAP LEFT JOIN Y ON CAP.cit = Y.cit WHERE r <= 300) q"""
+  FROM CAP LEFT JOIN Y ON CAP.cit = Y.cit WHERE r <= 20000) q"""
 
 
 def _a(spark, sf):
-    return X.extract_source_a(raw_a(spark, sf), _references(spark, sf), cap=300)
+    return X.extract_source_a(raw_a(spark, sf), _references(spark, sf), cap=20000)
 
 
 _P1_SQL = _P1_SQL.replace(
@@ -135,11 +135,11 @@ _P2_SQL = f"""SELECT * FROM (WITH {_B_RAW},
   LAB AS (SELECT *, CASE p % 6 WHEN 0 THEN 'OCEAN ISLAND' WHEN 1 THEN 'BACK-ARC_BASIN' WHEN 2 THEN 'SPREADING_CENTER' WHEN 3 THEN 'OCEANIC PLATEAU' WHEN 5 THEN 'CONTINENTAL_RIFT' END AS label FROM KEEP),
   CAP AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hash_sql(42)}, sample_id) AS r FROM LAB WHERE label IS NOT NULL)
   SELECT sample_id, {", ".join(f'{_R3.format(c=c)} AS "{K.SHORT_TO_LONG[c]}"' for c in K.SHORT_FEATURES)}, label AS "TECTONIC SETTING", CAST(p % 360 - 180 AS DOUBLE) AS longitude, CAST(p % 180 - 90 AS DOUBLE) AS latitude,
-    CAST(NULL AS VARCHAR) AS "AGE", concat('199', CAST(s AS VARCHAR), '; 2001') AS "PUBLICATION_YEAR" FROM CAP WHERE r <= 200) q"""
+    CAST(NULL AS VARCHAR) AS "AGE", concat('199', CAST(s AS VARCHAR), '; 2001') AS "PUBLICATION_YEAR" FROM CAP WHERE r <= 20000) q"""
 
 
 def _b(spark, sf):
-    return X.extract_source_b(raw_b(spark, sf), cap=200)
+    return X.extract_source_b(raw_b(spark, sf), cap=20000)
 
 
 @register("p2_extract_source_b", _P2_SQL, " ".join(K.LONG_FEATURES))

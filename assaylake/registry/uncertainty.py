@@ -8,7 +8,8 @@ from ..operators import uncertainty as U
 from .agebins import binned
 from .frames import draw_sql, hash_sql, register, samples, scored
 
-REPS = 100
+REPS = 2000
+DRAWN_REPS = 100  # of the method that shuffles rows times replicates
 SEED = 20240611
 _POISSON = "CASE " + " ".join(
     f"WHEN h/{2147483647}.0::DOUBLE < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(U.POISSON_ONE_CDF)) + " ELSE 12 END"
@@ -20,7 +21,7 @@ _DOUBLES = "age_mid_ga weighted_mean bootstrap_sem bootstrap_ci_lo bootstrap_ci_
 _POIS_SQL = f"""SELECT * FROM (WITH R AS {_ROWS}, D AS (SELECT mid, x, w, rep, {draw_sql('sample_id', 'rep', SEED)} AS h FROM R, range(1, {REPS + 1}) AS g(rep)),
   C AS (SELECT *, {_POISSON} AS c FROM D), M AS (SELECT mid, rep, sum(c*w*x)/sum(c*w) AS m FROM C WHERE c > 0 GROUP BY 1, 2) {_OUT}) q"""
 _MULTI_SQL = f"""SELECT * FROM (WITH R AS {_ROWS}, K AS (SELECT *, count(*) OVER (PARTITION BY mid) AS nn, row_number() OVER (PARTITION BY mid ORDER BY {hash_sql(SEED)}, sample_id) AS pos FROM R),
-  D AS (SELECT mid, rep, {draw_sql('sample_id', 'rep', SEED)} % nn + 1 AS pos, count(*) AS c FROM K, range(1, {REPS + 1}) AS g(rep) WHERE nn >= 3 GROUP BY 1, 2, 3),
+  D AS (SELECT mid, rep, {draw_sql('sample_id', 'rep', SEED)} % nn + 1 AS pos, count(*) AS c FROM K, range(1, {DRAWN_REPS + 1}) AS g(rep) WHERE nn >= 3 GROUP BY 1, 2, 3),
   M AS (SELECT D.mid, rep, sum(c*w*x)/sum(c*w) AS m FROM D JOIN K ON D.mid = K.mid AND D.pos = K.pos GROUP BY 1, 2) {_OUT}) q"""
 
 
@@ -28,7 +29,7 @@ def _weighted(spark, sf, method):
     rows = binned(spark, sf).select(
         "sample_id", F.col("age_bin.mid").alias("mid"), F.when((F.col("BA") > 0) & (F.col("LA") > 0), F.try_divide("BA", "LA")).alias("x"),
         F.greatest("Arc_probability3", F.lit(0.0)).alias("w")).where("mid >= 2500")
-    out = U.weighted_bootstrap(rows, ["mid"], "x", "w", REPS, SEED, method=method)
+    out = U.weighted_bootstrap(rows, ["mid"], "x", "w", REPS if method == "poisson" else DRAWN_REPS, SEED, method=method)
     return out.select((F.col("mid") / 1000.0).alias("age_mid_ga"), *[c for c in out.columns if c != "mid"])
 
 
@@ -36,21 +37,29 @@ register("m1_weighted_bootstrap_poisson", _POIS_SQL, _DOUBLES, "E B")(lambda s,
 register("m1_weighted_bootstrap", _MULTI_SQL, _DOUBLES, "E B")(lambda s, d: _weighted(s, d, "multinomial"))
 
 
-@register("m2_proportion_ci",
-          "SELECT mid/1000.0 AS age_mid_ga, count(*) AS n, count(*) FILTER (\"Arc_probability3\" >= 0.1)/count(*) AS frac, TRUE AS inside FROM B WHERE mid >= 2500 GROUP BY mid", "age_mid_ga frac", "E B")
+def _interval_sql(counts: str, key: str) -> str:
+    """Binomial quantiles by a running sum over all counts of a group."""
+    return f"""SELECT {key}, n, k/n AS frac, min(i) FILTER (f >= 0.025)/n AS lo, min(i) FILTER (f >= 0.975)/n AS hi FROM (
+      SELECT {key}, n, k, i, sum(m) OVER (PARTITION BY {key} ORDER BY i ROWS UNBOUNDED PRECEDING) AS f FROM (
+        SELECT {key}, n, k, i, CASE WHEN k = 0 THEN CAST(i = 0 AS INTEGER)::DOUBLE WHEN k = n THEN CAST(i = n AS INTEGER)::DOUBLE
+          ELSE exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i*ln(k/n) + (n - i)*ln(1 - k/n)) END AS m
+        FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM ({counts}) c) r) t) u GROUP BY {key}, n, k"""
+
+
+@register("m2_proportion_ci", _interval_sql(
+    "SELECT mid/1000.0 AS age_mid_ga, count(*) AS n, count(*) FILTER (\"Arc_probability3\" >= 0.1) AS k FROM B WHERE mid >= 2500 GROUP BY mid", "age_mid_ga"),
+    "age_mid_ga frac lo hi", "E B")
 def m2(spark, sf):
-    rows = binned(spark, sf).withColumn("mid", F.col("age_bin.mid")).where("mid >= 2500")
-    out = U.proportion_ci(rows, ["mid"], F.col("Arc_probability3") >= 0.1)
-    return out.select((F.col("mid") / 1000.0).alias("age_mid_ga"), "n", "frac", F.expr("lo <= frac AND frac <= hi").alias("inside"))
+    rows = binned(spark, sf).withColumn("age_mid_ga", F.col("age_bin.mid") / 1000.0).where("age_bin.mid >= 2500")
+    return U.proportion_ci(rows, ["age_mid_ga"], F.col("Arc_probability3") >= 0.1)
 
 
-@register("m2_proportion_ci_from_counts",
-          "SELECT \"POOL_COMPONENT\" AS part, count(*) AS n, count(*) FILTER (is_arc_related_9class)/count(*) AS frac, TRUE AS inside FROM E GROUP BY 1", "frac", "E")
+@register("m2_proportion_ci_from_counts", _interval_sql(
+    "SELECT \"POOL_COMPONENT\" AS part, count(*) AS n, count(*) FILTER (is_arc_related_9class) AS k FROM E GROUP BY 1", "part"), "frac lo hi", "E")
 def m2b(spark, sf):
     counts = scored(spark, sf).groupBy(F.col("POOL_COMPONENT").alias("part")).agg(
         F.count(F.lit(1)).alias("size"), F.count_if("is_arc_related_9class").alias("hits"))
-    out = U.proportion_ci(counts, ["part"], n="size", k="hits")
-    return out.select("part", "n", "frac", F.expr("lo <= frac AND frac <= hi").alias("inside"))
+    return U.proportion_ci(counts, ["part"], n="size", k="hits")
 
 
 _DENS = """SELECT * FROM (WITH F AS (SELECT source AS g, quantile_cont(log10(m2), 0.005) AS lo, quantile_cont(log10(m2), 0.995) AS hi, stddev_pop(log10(m2)) AS sd, count(*) AS n FROM S GROUP BY 1),
