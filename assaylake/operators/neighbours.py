@@ -40,6 +40,13 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pieces(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Small pieces of the batches, so that a matrix of rows by pivots stays within some megabytes."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def _distinct(df: DataFrame, vec: str) -> DataFrame:
     return df.select(F.transform(as_col(vec), lambda x: x.cast("double")).alias("vec")).groupBy(
         "vec"
@@ -60,12 +67,10 @@ class PivotIndex:
         pivot_matrix = self.pivots
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in _pieces(batches):
                 d2 = _squared(_matrix(pdf["vec"]), pivot_matrix)
                 cell = d2.argmin(axis=1)
-                pdf["cell"] = cell.astype("int32")
-                pdf["reach"] = np.sqrt(d2[np.arange(len(pdf)), cell])
-                yield pdf
+                yield pdf.assign(cell=cell.astype("int32"), reach=np.sqrt(d2[np.arange(len(pdf)), cell]))
 
         # The cells are read several times and must be the same each time.
         self.members = cut_lineage(
@@ -147,13 +152,18 @@ def _packs(index: PivotIndex, k: int, further: bool):
                     out += [(c, b, turn % spread[c], flat) for b in range(blocks[c])]
             return pd.DataFrame(out, columns=["cell", "block", "copy", "queries"])
 
-        for pdf in batches:
+        held = 0
+        for pdf in _pieces(batches):
             x = _matrix(pdf["vec"])
             wanted = visits(pdf, x)
+            bound = pdf["bound"].to_numpy(dtype=float) if further else np.full(len(x), np.inf)
+            bounded = np.column_stack([x, bound])  # a query and how far it still looks
             for c in np.flatnonzero(wanted.any(axis=0)):
-                waiting.setdefault(int(c), []).append(x[wanted[:, c]])
-            if sum(len(v) for parts in waiting.values() for v in parts) > 64 * QUERY_BLOCK:
-                yield flush(list(waiting))
+                waiting.setdefault(int(c), []).append(bounded[wanted[:, c]])
+                held += len(waiting[int(c)][-1])
+                if held > 64 * QUERY_BLOCK:
+                    yield flush(list(waiting))
+                    held = 0
         if waiting:
             yield flush(list(waiting))
 
@@ -174,7 +184,8 @@ def _search(
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for flat_q, flat_r, counts in zip(pdf["queries"], pdf["members"], pdf["copies"]):
-                q, r = flat_q.reshape(-1, width), flat_r.reshape(-1, width)
+                q, r = flat_q.reshape(-1, width + 1), flat_r.reshape(-1, width)
+                q, bound = q[:, :-1], q[:, -1:]
                 d2 = _squared(q, r)
                 top = min(k + 1, len(r))
                 near = np.argpartition(d2, top - 1, axis=1)[:, :top]
@@ -187,8 +198,8 @@ def _search(
                     times = times - (near_d2 == 0)
                 before = np.cumsum(times, axis=1) - times
                 times = np.clip(np.minimum(times, k - before), 0, None).astype("int32")
-                kept = times > 0
                 dist = np.sqrt(near_d2)
+                kept = (times > 0) & (dist <= bound * (1 + 1e-9) + 1e-12)
                 yield pd.DataFrame(
                     {
                         "vec": list(q),

@@ -15,7 +15,7 @@ NAMES = [f"class {i}" for i in range(10)]
 
 
 def _sides(spark, sf):
-    p = probabilities(spark, sf).withColumn("vec", F.slice("vec", 1, 12))
+    p = probabilities(spark, sf)
     return p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1")
 
 
@@ -30,7 +30,7 @@ def h10(spark, sf):
 
 _KNN = """SELECT {id} AS vec_id, avg(d) AS knn_distance FROM (
   SELECT a.vec_id, list_distance(a.v, r.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, r.v)) AS k
-  FROM (SELECT vec_id, vec[1:12] AS v FROM V WHERE vec_id % 2 = {side}) a JOIN (SELECT vec_id, vec[1:12] AS v FROM V WHERE vec_id % 2 = 0) r ON a.vec_id <> r.vec_id) t
+  FROM (SELECT vec_id, vec AS v FROM V WHERE vec_id % 2 = {side}) a JOIN (SELECT vec_id, vec AS v FROM V WHERE vec_id % 2 = 0) r ON a.vec_id <> r.vec_id) t
   WHERE k <= {k} GROUP BY a_id""".replace("{id}", "vec_id").replace("a_id", "vec_id")
 
 
@@ -114,7 +114,7 @@ def j11(spark, sf):
 @register("j15_pca_loadings")
 def j15(spark, sf):
     ref, _ = _sides(spark, sf)
-    return D.loadings(D.fit_pca(ref, "vec"), [f"dim {i:02d}" for i in range(12)], spark)
+    return D.loadings(D.fit_pca(ref, "vec"), [f"dim {i:02d}" for i in range(64)], spark)
 
 
 _RANK = "rank() OVER (PARTITION BY f1, f2 ORDER BY {v}) + (count(*) OVER (PARTITION BY f1, f2, {v}) - 1)/2.0"
