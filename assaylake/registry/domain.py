@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import domain as D
@@ -90,6 +91,43 @@ def j14(spark, sf):
     return D.ellipse_overlap(ref.withColumns(point), app.withColumns(point), "label", "x", "y", "arc")
 
 
+_CENTRED = """(WITH X AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(vec) AS x FROM V WHERE vec_id % 2 = 0), M AS (SELECT i, avg(x) AS m FROM X GROUP BY 1)
+  SELECT vec_id, X.i AS i, x - m AS d FROM X JOIN M ON X.i = M.i)"""
+
+
+@register("j11_pca_lengths", """SELECT * FROM (WITH X AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(vec) AS x FROM V), M AS (SELECT i, avg(x) AS m FROM X WHERE vec_id % 2 = 0 GROUP BY 1)
+  SELECT vec_id, sum((x - m)*(x - m)) AS squared FROM X JOIN M ON X.i = M.i GROUP BY 1) q""", "squared", "P")
+def j11_lengths(spark, sf):
+    """All components keep a row's distance to the reference mean: the projection is orthonormal and centred."""
+    ref, app = _sides(spark, sf)
+    pcs = D.project(ref.unionByName(app), D.fit_pca(ref, "vec"), "vec", 64)
+    return pcs.select("vec_id", F.aggregate("pcs", F.lit(0.0), lambda a, x: a + x * x).alias("squared"))
+
+
+@register("j11_whitened_moments", "SELECT CAST(i AS INTEGER) AS component, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS variance FROM range(1, 65) AS r(i)", "mean variance")
+def j11_moments(spark, sf):
+    """Whitened reference coordinates have mean 0 and variance 1 on every component (rounded to six places)."""
+    ref, _ = _sides(spark, sf)
+    white = D.whiten(D.project(ref, D.fit_pca(ref, "vec"), "vec", 64), [], "pcs")[0]
+    cells = white.select(F.posexplode("pcs").alias("at", "x"))
+    return cells.groupBy((F.col("at") + 1).alias("component")).agg(
+        F.abs(F.round(F.avg("x"), 6)).alias("mean"), F.round(F.var_pop("x"), 6).alias("variance"))
+
+
+@register("j13_shrunk_covariance", f"""SELECT * FROM (WITH C AS {_CENTRED},
+  K AS (SELECT a.i AS i, b.i AS j, sum(a.d*b.d)/count(*) AS c, count(*) AS n FROM C a JOIN C b ON a.vec_id = b.vec_id GROUP BY 1, 2),
+  Q AS (SELECT sum(l*l) AS fourth FROM (SELECT vec_id, sum(d*d) AS l FROM C GROUP BY 1) r),
+  T AS (SELECT sum(c*c) AS spread, sum(c) FILTER (i = j) AS trace, max(n) AS n FROM K),
+  W AS (SELECT trace/64.0 AS mu, (spread - trace*trace/64.0)/64.0 AS distance, (fourth/n - spread)/(64.0*n) AS noise FROM T, Q)
+  SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round((1 - least(noise, distance)/distance)*c + CASE WHEN i = j THEN least(noise, distance)/distance*mu ELSE 0 END, 8) + 0.0 AS covariance FROM K, W) q""", "covariance", "P")
+def j13_shrunk(spark, sf):
+    """The inverse of the precision that the distances use, entry by entry, to eight places: the shrunk covariance."""
+    ref, _ = _sides(spark, sf)
+    held = np.linalg.inv(D._moments(ref, "vec", None)["_all"].shrunk_precision())
+    rows = [(i + 1, j + 1, round(float(v), 8) + 0.0) for (i, j), v in np.ndenumerate(held)]
+    return spark.createDataFrame(rows, "i int, j int, covariance double")
+
+
 @register("j13_mahalanobis")
 def j13(spark, sf):
     ref, app = _sides(spark, sf)
