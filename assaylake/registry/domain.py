@@ -119,13 +119,13 @@ def j11_moments(spark, sf):
   Q AS (SELECT sum(l*l) AS fourth FROM (SELECT vec_id, sum(d*d) AS l FROM C GROUP BY 1) r),
   T AS (SELECT sum(c*c) AS spread, sum(c) FILTER (i = j) AS trace, max(n) AS n FROM K),
   W AS (SELECT trace/64.0 AS mu, (spread - trace*trace/64.0)/64.0 AS distance, (fourth/n - spread)/(64.0*n) AS noise FROM T, Q)
-  SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round((1 - least(noise, distance)/distance)*c + CASE WHEN i = j THEN least(noise, distance)/distance*mu ELSE 0 END, 8) + 0.0 AS covariance FROM K, W) q""", "covariance", "P")
+  SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(round(100000000*((1 - least(noise, distance)/distance)*c + CASE WHEN i = j THEN least(noise, distance)/distance*mu ELSE 0 END)) AS BIGINT) AS covariance_e8 FROM K, W) q""", views="P")
 def j13_shrunk(spark, sf):
-    """The inverse of the precision that the distances use, entry by entry, to eight places: the shrunk covariance."""
+    """The inverse of the precision that the distances use, entry by entry in units of 1e-8: the shrunk covariance."""
     ref, _ = _sides(spark, sf)
     held = np.linalg.inv(D._moments(ref, "vec", None)["_all"].shrunk_precision())
-    rows = [(i + 1, j + 1, round(float(v), 8) + 0.0) for (i, j), v in np.ndenumerate(held)]
-    return spark.createDataFrame(rows, "i int, j int, covariance double")
+    rows = [(i + 1, j + 1, round(1e8 * float(v))) for (i, j), v in np.ndenumerate(held)]
+    return spark.createDataFrame(rows, "i int, j int, covariance_e8 long")
 
 
 @register("j13_mahalanobis")
