@@ -18,7 +18,8 @@ from ..session import scratch_folder
 from ..sources.tables import write_table
 from .agebins import binned
 from .cleaning import _CITE, _CITE_SQL, _references
-from .frames import CLASSES, hash_sql, register, samples, scored, table
+from . import agebins, uncertainty  # noqa: F401  their twins are used below
+from .frames import CLASSES, ORACLE, hash_sql, register, samples, scored, table
 
 ID = "sample_id"
 
@@ -312,4 +313,25 @@ def p10(spark, sf):
     return _evidence(spark, sf)["shares"]
 
 
+def _twin(name, *swaps):
+    """The twin of a table's own operator, over the rows that the composite keeps."""
+    text = ORACLE[name]
+    for old, new in (("FROM events)", "FROM events WHERE event_id <> 77)"), *swaps):
+        if old not in text:
+            raise ValueError(f"{name}: no {old}")
+        text = text.replace(old, new)
+    return text
+
+
+_SUMMARY_DOUBLES = (
+    "age_mid_ga ratio_9class_arc_all mean_arc_probability ratio_arc_probability_ge_0_5 ratio_9class_arc_high ratio_liu_arc mean_pred_prob "
+    + " ".join(f"ratio_{c}" for c in CLASSES))
+for _part, _sql, _doubles in (
+    ("summary", _twin("g10_summarize_by_age"), _SUMMARY_DOUBLES), ("proportions", _twin("m2_proportion_ci"), "age_mid_ga frac lo hi"),
+    ("histogram", _twin("g28_age_histogram", ('"Arc_probability3" >= 0.5', '"Arc_probability3" >= 0.1')), "age_mid_ga"),
+    ("sensitivity", _twin("g27_fixed_bins", ('nullif("TH",0)', 'nullif("LA",0)')), "age_mid_ga mean_arc median_ratio"),
+    ("sliding", _twin("g26_e7_sliding_mean"), "age_mid_ga mean_arc"),
+):
+    register(f"p10_age_evidence_{_part}", _sql, _doubles)(lambda spark, sf, part=_part: _evidence(spark, sf)[part])
+
 register("p10_age_evidence_ratios")(lambda spark, sf: _evidence(spark, sf)["ratios"])
