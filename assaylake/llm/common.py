@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A word, in every operator of this subpackage: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+_STAGED: list[str] = []  # tables in the shared folder that release() deletes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +40,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex[:12]}-{name}"
     df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, bytes_a_row: int, bound_bytes: int = 16 << 20) -> DataFrame:
-    """Marks a staged side for broadcast if its counted rows fit the bound; else leaves it to the planner."""
+def release(spark: SparkSession) -> None:
+    """Delete all tables staged so far; to be called once results that read them are written."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = hadoop.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def small_side(df: DataFrame, bytes_a_row: int = 64, bound_bytes: int = 16 << 20) -> DataFrame:
+    """Marks a staged side for broadcast if its counted rows fit the bound; else leaves it to the planner.
+
+    A hashed row of one long takes about 64 bytes.
+    """
     return F.broadcast(df) if df.count() * bytes_a_row <= bound_bytes else df
 
 

@@ -2,6 +2,7 @@
 and extra columns with clashing names."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assaylake.llm import (language, lines, mixing, ngrams, packing, perplexity_rules, quality_model, simhash,
+from assaylake.llm import (common, language, lines, mixing, ngrams, packing, perplexity_rules, quality_model, simhash,
                            token_counts, topk, units)
 from assaylake.llm.common import components, spread_rank
 
@@ -70,6 +71,16 @@ def test_components_and_spread_rank(spark):
         sums[r.g] += r.id
 
 
+def test_release(spark, monkeypatch):
+    monkeypatch.setattr(common, "_STAGED", [])
+    held = common.stage(spark.range(5).toDF("n"), "held")
+    assert held.count() == 5
+    path = common._STAGED[0].removeprefix("file:")
+    assert os.path.isdir(path)
+    common.release(spark)
+    assert not os.path.exists(path) and not common._STAGED
+
+
 # --- SimHash -----------------------------------------------------------------------------------
 
 def plain_fingerprint(text):
@@ -427,12 +438,12 @@ def test_kneser_ney_and_both_scorers(spark, sample, monkeypatch):
     monkeypatch.setattr(ngrams, "CHUNK", 1000)
     rows = sample.where("doc_id < 40")
     train = [r.text for r in rows.where("doc_id % 2 = 0").collect()]
-    for order in (3, 4):
+    for order in (3,):
         p = plain_kneser_ney(train, order)
-        assert abs(sum(p(b"th"[:order - 1] + bytes([b])) for b in range(256)) - 1) < 1e-9 if order == 3 else True
+        assert abs(sum(p(b"th"[:order - 1] + bytes([b])) for b in range(256)) - 1) < 1e-9
         entries, contexts, floor = ngrams.kneser_ney(ngrams.count_ngrams(rows.where("doc_id % 2 = 0"), order), order)
         want = {r.doc_id: plain_nll(p, r.text, order) for r in rows.collect()}
-        for pieces in (10**6, 500):
+        for pieces in (10**6, entries.count() // 2):
             rp = perplexity_rules.RuleParams(order=order, piece_entries=pieces)
             got = perplexity_rules.perplexities(rows.unionByName(rows), entries, contexts, floor, rp, "text", "doc_id").collect()
             assert len(got) == 2 * len(want)

@@ -1,10 +1,16 @@
 """Registered queries against their SQL twins, and the pipeline stage by stage."""
 
+import struct
+from collections import defaultdict
+
 import duckdb
 import pytest
+import xxhash
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from assaylake.llm.mixing import OP3_SQL
+from test_operators import plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +52,96 @@ def test_pipeline_stages(spark):
     assert packed.count() == docs.count()
     rows = plain(corpus_pipeline.run(spark, SF).collect())
     assert rows == plain(packed.collect())
+
+
+# --- the whole pipeline once more, in plain Python ------------------------------------------------
+
+def within(a, b, most):
+    """Edit distance at most ``most``, by a banded table."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = {j: j for j in range(most + 1)}
+    for i in range(1, len(a) + 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if j == 0:
+                new[0] = i
+            else:
+                new[j] = min(row.get(j, 99) + 1, new.get(j - 1, 99) + 1, row.get(j - 1, 99) + (a[i - 1] != b[j - 1]))
+        row = new
+        if min(row.values()) > most:
+            return False
+    return row[len(b)] <= most
+
+
+def plain_lines(docs):
+    first = {}
+    for key, text, *_ in docs:
+        for pos, line in enumerate(text.split("\n")):
+            if len(line) >= 20 and line.strip():
+                first.setdefault(line, (key, pos))
+    by_length, gone = defaultdict(list), set()
+    for line in first:
+        by_length[len(line)].append(line)
+    for line, at in first.items():
+        for n in range(len(line) - 2, len(line) + 3):
+            if any(first[x] < at and within(line, x, 2) for x in by_length.get(n, ())):
+                gone.add(line)
+    out = []
+    for key, text, lang, source in docs:
+        parts = text.split("\n")
+        left = [x for pos, x in enumerate(parts) if len(x) < 20 or not x.strip() or first[x] == (key, pos) and x not in gone]
+        if len(left) == len(parts) or "".join(left).strip():
+            out.append((key, "\n".join(left), lang, source))
+    return out
+
+
+def plain_simhash(docs):
+    marks, root = {d[0]: plain_fingerprint(d[1]) for d in docs}, {}
+    for a in sorted(marks):
+        near = [b for b in root if (marks[a] ^ marks[b]).bit_count() <= 3]
+        root[a] = a
+        roots = {root[b] for b in near} | {a}
+        for b, r in root.items():
+            if r in roots:
+                root[b] = min(roots)
+    return [d for d in docs if root[d[0]] == d[0]]
+
+
+def plain_mix(docs):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", docs)
+    return sorted((r[0], r[2]) for r in con.execute(OP3_SQL).fetchall())
+
+
+def plain_pack(rows, most=16, budget=65536):
+    lengths = sorted({n for _, n in rows})
+    count = {x: sum(n == x for _, n in rows) for x in lengths}
+    cost = {0: 0}  # least padded tokens of the first lengths, bucket by bucket
+    bounds = {0: []}
+    for _ in range(most):
+        new, way = dict(cost), dict(bounds)
+        for j in range(1, len(lengths) + 1):
+            for i in cost:
+                if i < j:
+                    c = cost[i] + lengths[j - 1] * sum(count[x] for x in lengths[i:j])
+                    if c < new.get(j, 1 << 60):
+                        new[j], way[j] = c, [*bounds[i], lengths[j - 1]]
+        cost, bounds = new, way
+    return cost[len(lengths)]
+
+
+def test_pipeline_against_plain_python(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").orderBy("doc_id").collect()]
+    docs = [d for d in docs if d[1] and any(c.isalpha() for c in d[1])]
+    mixed = plain_mix(plain_simhash(plain_lines(docs)))
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == mixed
+    assert sum(r.bucket_tokens for r in got) == plain_pack(mixed)
+    seed = xxhash.xxh64_intdigest(b"pack", 42)
+    order = lambda r: (xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), seed) >> 1, r.doc_id)
+    for bucket in {r.bucket for r in got}:
+        rows = sorted((r for r in got if r.bucket == bucket), key=order)
+        fit = max(1, 65536 // max(1, rows[0].bucket_tokens))
+        assert [(r.batch, r.slot) for r in rows] == [(i // fit, i % fit) for i in range(len(rows))]
