@@ -26,7 +26,7 @@ class RuleParams:
 
     order: int = 5
     fence: float = 3.0
-    piece_entries: int = 4_000_000
+    piece_entries: int = 2_000_000
     min_words: int = 50
 
 
@@ -57,15 +57,9 @@ class HashArrays:
     A key packs the order above the bytes of the n-gram, so different n-grams never share one.
     """
 
-    def __init__(self, entries: pd.DataFrame, contexts: pd.DataFrame, order: int, floor: float, piece: int, pieces: int):
-        self.order, self.floor, self.piece, self.pieces = order, floor, piece, pieces
-        self.entries, self.contexts = self._sorted(entries, "lp"), self._sorted(contexts, "lg")
-
-    @staticmethod
-    def _sorted(rows: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-        keys = (rows["n"].to_numpy(np.int64) << 56) | rows["g"].to_numpy(np.int64)
-        at = np.argsort(keys)
-        return keys[at], rows[value].to_numpy(np.float64)[at]
+    def __init__(self, entries: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], order: int, floor: float,
+                 piece: int, pieces: int):
+        self.entries, self.contexts, self.order, self.floor, self.piece, self.pieces = entries, contexts, order, floor, piece, pieces
 
     @staticmethod
     def _find(held: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +85,25 @@ class HashArrays:
         return out
 
 
+def sorted_arrays(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys and their values of (n, g, value) rows.
+
+    Rows are sorted in the cluster and written to the shared folder as runs of packed keys and
+    values; the driver only strings the runs together.
+    """
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, values = (np.ascontiguousarray(b.column(i).to_numpy()) for i in range(2))
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:1]), pa.array([keys.tobytes()]), pa.array([values.tobytes()])], ["first", "keys", "held"])
+
+    key = F.shiftleft(F.col("n").cast("long"), 56).bitwiseOR(F.col("g"))
+    ordered = rows.select(key.alias("key"), F.col(value).cast("double").alias("held")).repartitionByRange("key").sortWithinPartitions("key")
+    packed = stage(ordered.mapInArrow(runs, "first long, keys binary, held binary"), f"arrays-{value}").collect()
+    packed.sort(key=lambda r: r.first)
+    return (np.frombuffer(b"".join(bytes(r.keys) for r in packed), np.int64), np.frombuffer(b"".join(bytes(r.held) for r in packed), np.float64))
+
+
 def piece_of(grams, pieces: int):
     """Piece of an n-gram: its second and third last bytes, the context's end, mixed.
 
@@ -119,7 +132,7 @@ def perplexities(docs: DataFrame, entries: DataFrame, contexts: DataFrame, floor
             mixed = F.floor(F.pmod(end.bitwiseAND(F.lit(0xFFFF).cast("long")) * 40503, F.lit(65536)) * pieces / 65536)
             return rows.where((F.col("n") <= 2) | (mixed == piece)) if pieces > 1 else rows
 
-        model = HashArrays(own(entries, False).toPandas(), own(contexts, True).toPandas(), p.order, floor, piece, pieces)
+        model = HashArrays(sorted_arrays(own(entries, False), "lp"), sorted_arrays(own(contexts, True), "lg"), p.order, floor, piece, pieces)
         sent = spark.sparkContext.broadcast(model)  # at most 16 bytes times piece_entries
 
         def each(batches: Iterator[pa.RecordBatch], sent=sent, first=piece == 0) -> Iterator[pa.RecordBatch]:
