@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 _FLUSH = 1 << 22  # distinct n-grams held by a task before it passes counts on
-CHUNK = 4 << 20  # bytes of text handled at once
+CHUNK = 2 << 20  # bytes of text handled at once
 _START, _END = b"\x02", b"\x03"
 
 
