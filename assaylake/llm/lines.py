@@ -171,14 +171,14 @@ def line_links(lines: DataFrame, classes: DataFrame, p: LineParams) -> DataFrame
         F.struct(F.col(f"p{i}").alias("q"), F.lit(deltas[i] > 0).alias("shorter")) for i in range(n_probe)]))).where("q IS NOT NULL")
     hot = stage(index.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.hot).select("k"), "hot")
     on = (F.col("k") == F.col("q")) & (F.col("a") != F.col("b")) & (F.col("shorter") | (F.col("a") < F.col("b")))
-    keys = small_side(hot, 16)
+    keys = small_side(hot)
     found = stage(index.join(keys, "k", "left_anti").join(probe, on).select("a", "b").distinct(), "candidates")
     need = found.select(F.col("a").alias("h1")).unionByName(found.select(F.col("b").alias("h1")))
     busy_index = index.join(keys, "k", "left_semi")
     busy_probe = probe.join(keys.withColumnRenamed("k", "q"), "q", "left_semi")
     need = need.unionByName(busy_index.select(F.col("a").alias("h1"))).unionByName(busy_probe.select(F.col("b").alias("h1")))
     need = stage(need.distinct(), "needed")
-    texts = stage(lines.select("h1", "h2", "line").join(small_side(need, 16), "h1", "left_semi")
+    texts = stage(lines.select("h1", "h2", "line").join(small_side(need), "h1", "left_semi")
                   .groupBy("h1", "h2").agg(F.max("line").alias("line")), "texts")
     left = texts.select(F.col("h1").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("la"))
     right = texts.select(F.col("h1").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("lb"))

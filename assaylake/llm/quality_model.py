@@ -135,7 +135,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, params: ClassifierParam
     p = params or ClassifierParams()
     good = stage(trusted_keys(labels, key), "trusted")
     rows = docs.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    near = small_side(good, 16)
+    near = small_side(good)
     training = rows.join(near, F.col("id") == F.col("trusted_key"), "left_semi")
     entries, contexts, floor = kneser_ney(count_ngrams(training, p.order), p.order)
     keyed = rows.select(F.struct("id", "lang").alias("key"), "text")
