@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, stage, table
+from .common import stage, table
 
 _PARTS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"\S(?:.|\n(?!\s*\n))*")}
 _SENTENCE = re.compile(r"[^.!?]+(?:[.!?]+|$)")
@@ -96,7 +96,7 @@ def repeated_spans(docs: DataFrame, params: UnitParams | None = None, text: str
     p = params or UnitParams()
     units = stage(unit_table(docs, p, text, key), "units")
     many = stage(units.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "repeated")
-    again = units.join(small_side(many, 16), "h1", "left_semi")
+    again = units.join(many, "h1", "left_semi")
     order = F.coalesce(rank, F.lit(None).cast("double")) if rank is not None else F.lit(0)
     again = stage(again.select("*", F.struct(order.isNull().alias("r0"), order.alias("r"), F.col("key").isNull().alias("k0"),
                                              F.col("key").alias("k"), F.col("start").alias("s")).alias("at")), "again")
