@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import components, stage, table
+from .near_copies import copy_groups
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -125,10 +126,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every component the document with the smallest doc_id stays.
+    """Pipeline stage: of every component of near copies the document with the smallest doc_id stays.
 
+    Links are those of ``copy_groups``: a Jaccard similarity of 0.8 or more on five-word shingles.
     Rows that repeat a doc_id are one document and stay alike; a document without a doc_id stays.
     """
-    groups = simhash_groups(docs)
+    groups = copy_groups(docs)
     gone = groups.where("key IS NOT NULL AND key <> component").select("key").distinct()
     return docs.select(F.struct("*").alias("row")).join(gone, F.col("row")["doc_id"] == F.col("key"), "left_anti").select("row.*")

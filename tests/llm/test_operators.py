@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assaylake.llm import (common, language, lines, mixing, ngrams, packing, perplexity_rules, quality_model, simhash,
+from assaylake.llm import (common, language, lines, mixing, near_copies, ngrams, packing, perplexity_rules, quality_model, simhash,
                            token_counts, topk, units)
 from assaylake.llm.common import components, spread_rank
 
@@ -128,6 +128,39 @@ def test_simhash_odd(odd, none):
     assert sorted(r.doc_id or 0 for r in simhash.simhash_stage(None, odd, "").collect()) == [0, 1, 4, 6, 7, 8]
 
 
+def test_stage_removes_every_near_copy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rnd = random.Random(8)
+    made = [" ".join(f"w{rnd.randrange(4000)}" for _ in range(n)) for n in range(5, 200, 5) for _ in range(4)]
+    for t in list(made):  # one or two words changed, and long runs of edits linked in a chain
+        words = t.split()
+        for _ in range(2):
+            words[rnd.randrange(len(words))] = f"new{rnd.random()}"
+            made.append(" ".join(words))
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(made)], docs.schema))
+    sets = {}
+    for r in docs.collect():
+        w = (r.text or "").lower().split()
+        sets[r.doc_id] = {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    root = {k: k for k in sets}
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    holders, shared = defaultdict(list), Counter()
+    for k, s in sets.items():
+        for g in s:
+            shared.update((o, k) for o in holders[g])
+            holders[g].append(k)
+    for (a, b), n in shared.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n) and top(a) != top(b):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r.key: r.component for r in near_copies.copy_groups(docs).collect()}
+    assert got == {k: top(k) for k in sets}
+    left = {r.doc_id for r in simhash.simhash_stage(spark, docs, "").collect()}
+    assert left == {k for k in sets if top(k) == k} and not left & {56, 914, 875}
+
+
 # --- lines -------------------------------------------------------------------------------------
 
 def levenshtein(a, b):
