@@ -5,8 +5,8 @@ Nothing else in the library imports this subpackage.
 
 from __future__ import annotations
 
-from . import (language, lines, mixing, packing, perplexity_rules, quality_model, simhash, token_counts, topk,
-               units)
+from . import (clustering, conversations, language, lines, mixing, packing, perplexity_rules, quality_model, simhash,
+               token_counts, topk, toxicity, units)
 
 
 def queries() -> dict:
@@ -21,6 +21,9 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_quality_rules": perplexity_rules.op10_quality_rules,
+        "op11_toxicity": toxicity.op11_toxicity,
+        "op12_clustering": clustering.op12_clustering,
+        "op13_conversations": conversations.op13_conversations,
     }
 
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": lines.OP2_SQL,
         "op3_mixing": mixing.OP3_SQL,
         "op4_topk": topk.OP4_SQL,
+        "op12_clustering": clustering.OP12_SQL,
     }
