@@ -37,8 +37,9 @@ class ToxicityParams:
 
 
 def normal(text: Column) -> Column:
-    """Lower-case letters of the whole text; whatever stands between them becomes one space."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+    """Lower-case words of letters of the whole text with one space around each; empty without a letter."""
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+    return F.when(words != "", F.concat(F.lit(" "), words, F.lit(" "))).otherwise("")
 
 
 def may_learn(key: Column) -> Column:
