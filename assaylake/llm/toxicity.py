@@ -27,12 +27,14 @@ class ToxicityParams:
     together; fit_bytes: text of a class that the fit reads at most (whole documents, drawn by the hash
     of their key; the larger class is also thinned to the volume of the smaller one, so that neither
     model knows more rare expressions just by its size); threshold: lowest score predicted as toxic;
-    block_bytes: text per block of scored documents."""
+    held_bytes: models whose counted entries fit it go to the tasks as arrays, larger ones are joined;
+    block_bytes: text per block of documents in these joins."""
 
     order: int = 5
     shared: int = 2
     fit_bytes: int = 1 << 28
     threshold: float = 0.7
+    held_bytes: int = 64 << 20
     block_bytes: int = 8 << 20
 
 
@@ -170,6 +172,70 @@ def gram_ratios(grams: DataFrame, entries: DataFrame, contexts: DataFrame, floor
     return rows.select("g", F.array(*ratios).alias("r"))
 
 
+class RatioArrays:
+    """All models as ascending keys per order with a column per model and class; looked up by bisection."""
+
+    def __init__(self, entries: DataFrame, contexts: DataFrame, floors: list[float], order: int):
+        self.order, self.floors = order, np.array(floors)
+        self.entries, self.contexts = self._arrays(entries), self._arrays(contexts)
+
+    @staticmethod
+    def _arrays(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        table, out = rows.toArrow(), {}  # rows were counted against ``held_bytes``
+        n, g = table["n"].to_numpy(), table["g"].to_numpy()
+        values = np.stack([table[f"v{i}"].to_numpy().astype(np.float32) for i in range(len(_CELLS))], axis=1)
+        for k in np.unique(n):
+            at = np.flatnonzero(n == k)
+            at = at[np.argsort(g[at])]
+            out[int(k)] = (g[at], values[at])
+        return out
+
+    @staticmethod
+    def _find(held: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(held[0], keys), len(held[0]) - 1)
+        return np.where((held[0][at] == keys)[:, None], held[1][at], np.float32("nan"))
+
+    def ratios(self, grams: np.ndarray) -> np.ndarray:
+        """(n-grams, models): log of toxic over ordinary probability of the last byte."""
+        lp, left = np.full((len(grams), len(_CELLS)), np.nan), np.zeros((len(grams), len(_CELLS)))
+        for n in range(self.order, 0, -1):
+            own = grams & ((1 << (8 * n)) - 1)
+            lp = np.where(np.isnan(lp), left + self._find(self.entries[n], own), lp)
+            if n > 1:
+                left += np.nan_to_num(self._find(self.contexts[n], own >> 8))
+        lp = np.where(np.isnan(lp), left + self.floors, lp)
+        return np.stack([lp[:, _CELLS.index((m, 1))] - lp[:, _CELLS.index((m, 0))] for m in range(MODELS)], axis=1)
+
+
+def held_ratios(docs: DataFrame, model: RatioArrays) -> DataFrame:
+    """(key, x0, x1, x2) as ``document_ratios`` gives them, by one narrow pass with the whole model in the tasks."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.select("key").schema
+    for m in range(MODELS):
+        schema = schema.add(f"x{m}", "double")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = sent.value
+        for b in batches:
+            total, size = np.zeros((MODELS, b.num_rows)), np.ones(b.num_rows)
+
+            def texts() -> Iterator[tuple[int, bytes]]:
+                for i, t in enumerate(b.column(1)):
+                    data = (t.as_py() or "").encode()
+                    if data:
+                        size[i] = len(data) + 1
+                        yield i, data
+
+            for of, grams in text_codes(texts(), arrays.order):
+                local, distinct = pd.factorize(grams)
+                value = arrays.ratios(distinct)
+                for m in range(MODELS):
+                    total[m] += np.bincount(of, value[:, m][local], b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(t / size) for t in total]], schema.names)
+
+    return docs.select("key", "text").mapInArrow(each, schema)
+
+
 def document_ratios(docs: DataFrame, entries: DataFrame, contexts: DataFrame, floors: list[float], p: ToxicityParams) -> DataFrame:
     """(key, x0, x1, x2): log-likelihood ratio per byte of every document under each model; 0 without a byte.
 
@@ -251,7 +317,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams |
         return docs.select(F.col(key).alias("key")).select(
             "key", held_out.alias("held_out"), F.lit(0.0).alias("ratio"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     entries, contexts, floors = class_models(counts, p)
-    ratios = stage(document_ratios(rows, entries, contexts, floors, p), "toxic-scores")
+    if (entries.count() + contexts.count()) * 4 * (2 + len(_CELLS)) <= p.held_bytes:
+        ratios = held_ratios(rows, RatioArrays(entries, contexts, floors, p.order))
+    else:
+        ratios = document_ratios(rows, entries, contexts, floors, p)
+    ratios = stage(ratios, "toxic-scores")
     known = stage(labels.where(may_learn(F.col(key)) & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("label_key")).agg(
         (F.max("toxic") > 0).cast("int").alias("toxic")), "known")
     fold = F.pmod(F.xxhash64(F.lit("fold"), "label_key"), F.lit(2))

@@ -283,6 +283,8 @@ def test_ratios_against_dictionaries(spark):
     volume = [sum(len(r.text.encode()) for r in fit if r.toxic == c) for c in (0, 1)]
     assert 0.5 < volume[0] / volume[1] < 2  # classes are evened out
     rows = {r.key: r.ratio for r in toxicity.score_toxicity(frame, marks, p).collect()}
+    joined = toxicity.score_toxicity(frame, marks, toxicity.ToxicityParams(order=4, shared=2, held_bytes=0, block_bytes=500)).collect()
+    assert {r.key: r.ratio for r in joined} == pytest.approx(rows, abs=1e-5)
     for key, text, *_ in docs[:20]:
         words = "".join(c.lower() if c.isalpha() else " " for c in text).split()
         assert rows[key] == pytest.approx(ratio(f" {' '.join(words)} "), abs=1e-5)
