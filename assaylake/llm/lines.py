@@ -14,7 +14,8 @@ _LINE_SPAN = 10_000_000_000  # line numbers are below this
 
 @dataclass(frozen=True)
 class LineParams:
-    """edits: largest edit distance of a link; min_chars: shorter lines are never touched.
+    """edits: largest edit distance of a link; min_chars: shorter lines only go as exact copies, for
+    short words are all within a few edits of each other.
 
     hot: a substring that more distinct lines share is joined with the texts at hand, so that its
     candidate pairs are verified where they meet and never written; results do not depend on it.
@@ -26,13 +27,13 @@ class LineParams:
 
 
 def lines_of(docs: DataFrame, p: LineParams, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, pos, line, h1, h2, ord) of every line that can be a duplicate; pos counts from 0.
+    """(key, pos, line, h1, h2, ord) of every line with a word; pos counts from 0.
 
     h1 and h2 are two seeded hashes of the line and name its class of equal lines; ord orders
     occurrences by key, then position (null keys last).
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line")) \
-        .where((F.length("line") >= p.min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+        .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     rank = F.coalesce(F.col("key"), F.lit((1 << 63) - 1)).cast("decimal(27,0)") * F.lit(_LINE_SPAN).cast("decimal(11,0)") + F.col("pos")
     return rows.select("key", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"),
                        rank.cast("decimal(38,0)").alias("ord"))
@@ -53,7 +54,18 @@ def _key(i: int, indexed: Column, start: Column, size: Column) -> Column:
 def index_keys(p: LineParams) -> list[Column]:
     """One key per segment: the segment's number, the line's length and the segment's text."""
     n = F.length("line")
-    return [_key(i, n, *_segment(n, p.edits + 1, i)) for i in range(p.edits + 1)]
+    return [F.when(n >= p.min_chars, _key(i, n, *_segment(n, p.edits + 1, i))) for i in range(p.edits + 1)]
+
+
+def parities() -> Column:
+    """32 bits: whether the characters whose code ends in these five bits are an odd number.
+
+    An inserted or deleted character turns one bit, a replaced one two at most, so lines within k edits
+    differ in 2 * k bits at most.  Lines of one template differ in more as soon as a word differs, which
+    refuses most pairs of a common segment before their texts are looked at.
+    """
+    return F.aggregate(F.split("line", ""), F.lit(0), lambda s, c: s.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1), F.ascii(c).bitwiseAND(F.lit(31)))))
 
 
 def probe_keys(p: LineParams) -> list[tuple[int, Column]]:
@@ -69,7 +81,7 @@ def probe_keys(p: LineParams) -> list[tuple[int, Column]]:
             start, size = _segment(indexed, p.edits + 1, i)
             for shift in range(max(-i, d - (p.edits - i)), min(i, d + (p.edits - i)) + 1):
                 at = start + shift
-                fits = (indexed >= p.min_chars) & (at >= 1) & (at + size - 1 <= n)
+                fits = (n >= p.min_chars) & (indexed >= p.min_chars) & (at >= 1) & (at + size - 1 <= n)
                 out.append((d, F.when(fits, _key(i, indexed, at, size))))
     return out
 
@@ -159,18 +171,19 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
 def line_links(lines: DataFrame, classes: DataFrame, p: LineParams) -> DataFrame:
     """(a1, a2, b1, b2, edits): every pair of different lines within the threshold, once.
 
-    ``classes`` has a row per distinct line with its index keys i0.. and probe keys p0..  The join
-    of index and probe keys gives candidates by the lines' first hash; candidates' texts are then
-    fetched in one more scan and verified.  Texts decide, so equal hashes of different lines cost
+    ``classes`` has a row per distinct line with its parities s, index keys i0.. and probe keys p0..
+    The join of index and probe keys, with the parities as a condition, gives candidates by the lines'
+    first hash; candidates' texts are then fetched in one more scan and verified.  Texts decide, so equal hashes of different lines cost
     time only.
     """
     n_probe = len(probe_keys(p))
     deltas = [d for d, _ in probe_keys(p)]
-    index = classes.select(F.col("h1").alias("a"), F.explode(F.array(*[f"i{i}" for i in range(p.edits + 1)])).alias("k"))
-    probe = classes.select(F.col("h1").alias("b"), F.inline(F.array(*[
+    index = classes.select(F.col("h1").alias("a"), F.col("s").alias("sa"), F.explode(F.array(*[f"i{i}" for i in range(p.edits + 1)])).alias("k")).where("k IS NOT NULL")
+    probe = classes.select(F.col("h1").alias("b"), F.col("s").alias("sb"), F.inline(F.array(*[
         F.struct(F.col(f"p{i}").alias("q"), F.lit(deltas[i] > 0).alias("shorter")) for i in range(n_probe)]))).where("q IS NOT NULL")
     hot = stage(index.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.hot).select("k"), "hot")
-    on = (F.col("k") == F.col("q")) & (F.col("a") != F.col("b")) & (F.col("shorter") | (F.col("a") < F.col("b")))
+    alike = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * p.edits
+    on = (F.col("k") == F.col("q")) & (F.col("a") != F.col("b")) & (F.col("shorter") | (F.col("a") < F.col("b"))) & alike
     keys = small_side(hot)
     found = stage(index.join(keys, "k", "left_anti").join(probe, on).select("a", "b").distinct(), "candidates")
     need = found.select(F.col("a").alias("h1")).unionByName(found.select(F.col("b").alias("h1")))
@@ -187,23 +200,23 @@ def line_links(lines: DataFrame, classes: DataFrame, p: LineParams) -> DataFrame
     cold = found.join(left, "a").join(right, "b").withColumn("edits", edits).where("edits IS NOT NULL").select(*out)
     met = busy_index.join(left, "a").drop("a").join(
         busy_probe.join(right, "b").drop("b"),
-        (F.col("k") == F.col("q")) & (F.col("a1") != F.col("b1")) & (F.col("shorter") | (F.col("a1") < F.col("b1"))) & edits.isNotNull())
+        (F.col("k") == F.col("q")) & (F.col("a1") != F.col("b1")) & (F.col("shorter") | (F.col("a1") < F.col("b1"))) & alike & edits.isNotNull())
     return cold.unionByName(met.withColumn("edits", edits).select(*out)).distinct()
 
 
 def mark_lines(docs: DataFrame, params: LineParams | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, pos, class_key, class_pos, n_copies, n_links, kept), a row per line of ``min_chars`` or more.
+    """(key, pos, class_key, class_pos, n_copies, n_links, kept), a row per line with a word.
 
     A class is all equal lines, named by its first occurrence (by key, then position); n_copies
     counts its occurrences and n_links the different lines within the edit threshold, never expanded
     to occurrences.  A line is kept if it is its class's first occurrence and no linked line occurs
-    first.  Null and empty texts, blank lines and shorter lines give no row.  Null keys rank last;
+    first.  Lines under ``min_chars`` have no links.  Null and empty texts and blank lines give no row.  Null keys rank last;
     rows that repeat a key and its text are one document: their lines are kept or dropped alike.
     Very long lines are compared whole.  Other columns are ignored.
     """
     p = params or LineParams()
     lines = lines_of(docs, p, text, key)
-    keys = {f"i{i}": k for i, k in enumerate(index_keys(p))} | {f"p{i}": k for i, (_, k) in enumerate(probe_keys(p))}
+    keys = {"s": parities()} | {f"i{i}": k for i, k in enumerate(index_keys(p))} | {f"p{i}": k for i, (_, k) in enumerate(probe_keys(p))}
     classes = stage(lines.select("h1", "h2", "ord", *[k.alias(c) for c, k in keys.items()]).groupBy("h1", "h2").agg(
         F.min("ord").alias("first"), F.count(F.lit(1)).alias("n_copies"), *[F.max(c).alias(c) for c in keys]), "lines")
     links = stage(line_links(lines, classes, p), "links")
@@ -248,7 +261,7 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, text: str = "
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: every line of 20 or more characters with its class, links and verdict; line_no counts from 1."""
+    """Query: every line with a word, its class, links and verdict; line_no counts from 1."""
     return mark_lines(table(spark, sf_dir, "documents")).select(
         F.col("key").alias("doc_id"), (F.col("pos") + 1).alias("line_no"), F.col("class_key").alias("class_doc_id"),
         (F.col("class_pos") + 1).alias("class_line_no"), "n_copies", "n_links", "kept")
@@ -266,11 +279,11 @@ _NARROW = " || ".join(f"chr({n})" for n in [*range(1, 9), *range(14, 32)][:len(_
 OP2_SQL = rf"""
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)
-      WHERE length(ls[i]) >= 20 AND regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
+      WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
 c AS (SELECT line, min(row(doc_id, pos)) AS first, count(*) AS n_copies, length(line) AS n, translate(line, '{_WIDE}', {_NARROW}) AS t
       FROM l GROUP BY line),
 p AS (SELECT a.line AS one, b.line AS other, a.first AS first, b.first AS other_first FROM c a JOIN c b
-      ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND levenshtein(a.t, b.t) <= 2),
+      ON a.n >= 20 AND b.n >= 20 AND b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND levenshtein(a.t, b.t) <= 2),
 k AS (SELECT one, count(*) AS n_links, bool_or(other_first < first) AS later FROM p GROUP BY one)
 SELECT l.doc_id, l.pos + 1 AS line_no, c.first[1] AS class_doc_id, c.first[2] + 1 AS class_line_no, c.n_copies,
   coalesce(k.n_links, 0) AS n_links, row(l.doc_id, l.pos) = c.first AND NOT coalesce(k.later, FALSE) AS kept

@@ -199,14 +199,14 @@ def test_edit_distance(spark, most):
 def test_line_marks(spark, hot):
     random.seed(5)
     base = ["".join(random.choice("abcdé ") for _ in range(random.randint(18, 60))) for _ in range(12)]
-    rows = [(i, "\n".join(edited(random.choice(base), random.choice([0, 0, 1, 2, 4])) for _ in range(4)), "en", "a") for i in range(60)]
+    rows = [(i, "\n".join(edited(random.choice(base), random.choice([0, 0, 1, 2, 4])) for _ in range(4)) + "\nshort one\n" + random.choice("xyz"), "en", "a") for i in range(60)]
     got = {(r.key, r.pos): r for r in lines.mark_lines(documents(spark, rows), lines.LineParams(hot=hot)).collect()}
-    at = {(i, k): x for i, t, *_ in rows for k, x in enumerate(t.split("\n")) if len(x) >= 20 and x.strip()}
+    at = {(i, k): x for i, t, *_ in rows for k, x in enumerate(t.split("\n")) if x.strip()}
     assert set(got) == set(at)
     first = {}
     for k in sorted(at):
         first.setdefault(at[k], k)
-    near = {a: [b for b in first if a != b and abs(len(a) - len(b)) <= 2 and levenshtein(a, b) <= 2] for a in first}
+    near = {a: [b for b in first if a != b and min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and levenshtein(a, b) <= 2] for a in first}
     assert sum(map(len, near.values())) > 50
     for k, x in at.items():
         r = got[k]
