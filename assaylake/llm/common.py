@@ -41,15 +41,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex[:12]}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._assaylake_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader has itself been staged; they must be results of ``stage``."""
+    for df in tables:
+        path = df._assaylake_path
+        if path in _STAGED:
+            _STAGED.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    at = hadoop.Path(path)
+    at.getFileSystem(conf).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all tables staged so far; to be called once results that read them are written."""
-    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     while _STAGED:
-        path = hadoop.Path(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _STAGED.pop())
 
 
 def small_side(df: DataFrame, bytes_a_row: int = 64, bound_bytes: int = 16 << 20) -> DataFrame:
@@ -87,7 +102,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(a.alias("u"), "m")
         small = large.join(low, a == F.col("u")).select(b.alias("a"), F.col("m").alias("b")) \
             .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = stage(small.where(a != b).distinct(), "edges")
+        old, now = now, stage(small.where(a != b).distinct(), "edges")
+        discard(old)
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(a.alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
