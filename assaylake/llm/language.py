@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +25,9 @@ class LanguageParams:
     per_language: labelled rows per language in the fit (the lowest hashes of the key);
     landmarks: of these, Nystroem landmarks per language; spectrum: longest n-gram;
     ridge: penalty relative to the number of fitted rows; batch: texts per matrix product.
+    A text with at least ``min_grams`` distinct n-grams is rejected below its language's threshold: the
+    score of a text that shares nothing with the landmarks, plus ``reject`` of the way from there to the
+    ``low`` quantile of the language's labelled rows, scored by models that did not see them.
     """
 
     per_language: int = 150
@@ -32,6 +35,9 @@ class LanguageParams:
     spectrum: int = 3
     ridge: float = 1e-3
     batch: int = 256
+    min_grams: int = 80
+    low: float = 0.01
+    reject: float = 0.25
 
 
 @dataclass(frozen=True)
@@ -44,6 +50,7 @@ class LanguageModel:
     bias: np.ndarray
     spectrum: int
     batch: int
+    limits: tuple[float, ...] = ()  # lowest accepted score of each language
 
 
 @lru_cache(maxsize=1)
@@ -153,6 +160,24 @@ def fit_language(docs: DataFrame, params: LanguageParams | None = None, text: st
     languages = tuple(sorted({r[0] for r in rows}))
     codes = [np.frombuffer(r[1], np.int32).astype(np.int64) for r in rows]
     of = np.array([languages.index(r[0]) for r in rows])
+    model = _solve(codes, of, languages, p)
+    apart = np.zeros(len(of))
+    for half in (0, 1):  # scores of rows that the model has not seen
+        seen, other = np.arange(len(of)) % 2 == half, np.arange(len(of)) % 2 != half
+        if len(np.unique(of[seen])) == len(languages):
+            part = _solve([codes[i] for i in np.flatnonzero(seen)], of[seen], languages, p)
+            f = _values([codes[i] for i in np.flatnonzero(other)], part)
+            apart[other] = np.clip((f[np.arange(len(f)), of[other]] + 1) / 2, 0, 1)
+    nothing = (model.bias.max() + 1) / 2
+    limits = tuple(float(nothing + p.reject * max(0.0, np.quantile(apart[of == k], p.low) - nothing)) for k in range(len(languages)))
+    return replace(model, limits=limits)
+
+
+def _values(codes: list[np.ndarray], model: LanguageModel) -> np.ndarray:
+    return _kernel(codes, model.buckets, model.presence, model.norms) @ model.weights + model.bias
+
+
+def _solve(codes: list[np.ndarray], of: np.ndarray, languages: tuple[str, ...], p: LanguageParams) -> LanguageModel:
     chosen = []
     for k in range(len(languages)):
         own = np.flatnonzero(of == k)
@@ -178,14 +203,15 @@ def fit_language(docs: DataFrame, params: LanguageParams | None = None, text: st
 
 
 def language_of(model: LanguageModel | None, text: Column) -> Column:
-    """Struct (lang, score) of a whole text, scored in batched matrix products inside the tasks."""
+    """Struct (lang, score, grams) of a whole text, scored in batched matrix products inside the tasks;
+    grams counts its distinct n-grams."""
     def predict(texts: pd.Series) -> pd.DataFrame:
         spectrum = Spectrum(model.spectrum) if model else None
-        lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        lang, score, grams = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
         rows, at = [], []
 
         def flush() -> None:
-            f = _kernel(rows, model.buckets, model.presence, model.norms) @ model.weights + model.bias
+            f = _values(rows, model)
             best = f.argmax(axis=1)
             lang[at] = np.array(model.languages, object)[best]
             score[at] = np.clip((f[np.arange(len(at)), best] + 1) / 2, 0, 1)
@@ -195,13 +221,14 @@ def language_of(model: LanguageModel | None, text: Column) -> Column:
             codes = spectrum.codes(t)
             if codes is not None:
                 rows.append(codes), at.append(i)
+                grams[i] = len(codes)
             if len(rows) == model.batch:
                 flush()
         if rows:
             flush()
-        return pd.DataFrame({"lang": lang, "score": score})
+        return pd.DataFrame({"lang": lang, "score": score, "grams": grams})
 
-    return F.pandas_udf(predict, "lang string, score double")(text)
+    return F.pandas_udf(predict, "lang string, score double, grams int")(text)
 
 
 def identify(docs: DataFrame, params: LanguageParams | None = None, text: str = "text", key: str = "doc_id",
@@ -225,12 +252,27 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def accepted(model: LanguageModel, found: Column, text: Column, p: LanguageParams) -> Column:
+    """Whether a text is taken as one of the learned languages, by its struct of ``language_of``.
+
+    The model decides for texts with at least ``min_grams`` distinct n-grams.  Shorter ones give it too
+    little to go by; they pass if at least half of what is not white space are letters.
+    """
+    limit = F.element_at(F.create_map(*[F.lit(v) for pair in zip(model.languages, model.limits) for v in pair]), found["lang"])
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]", ""))
+    solid = F.length(F.regexp_replace(text, r"\s", ""))
+    return (found["lang"] != UNKNOWN) & F.when(found["grams"] >= p.min_grams, found["score"] >= limit).otherwise(2 * letters >= solid)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a recognisable language (``und``) go, all columns stay.
+    """Pipeline stage: documents in none of the learned languages go, all columns stay.
 
-    Where no language can be learned (no labelled row), texts with a letter stay.
+    Those are texts without a letter and texts that ``accepted`` refuses.  Where no language can be
+    learned (no labelled row), texts with a letter stay.
     """
-    model = fit_language(docs)
+    p = LanguageParams()
+    model = fit_language(docs, p)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return docs.where(language_of(model, F.col("text"))["lang"] != UNKNOWN)
+    rows = docs.select(F.struct("*").alias("row"), language_of(model, F.col("text")).alias("found"))
+    return rows.where(F.coalesce(accepted(model, F.col("found"), F.col("row.text"), p), F.lit(False))).select("row.*")

@@ -161,6 +161,57 @@ def test_stage_removes_every_near_copy(spark):
     assert left == {k for k in sets if top(k) == k} and not left & {56, 914, 875}
 
 
+# --- language: the stage decides by its model, the model equals plain sums -----------------------
+
+def test_language_stage_refuses_unknown_languages(spark, sample):
+    rows = [tuple(r) for r in sample.collect()]
+    odd = ["Это простой текст на русском языке, который никто здесь не знает, и он достаточно длинный.", "これは日本語で書かれた長い文章であり、学習に使われた四つの言語のどれにも属していないので、取り除かれるべきものです。",
+           "Tämä on suomenkielinen lause, jota kukaan ei tunne, ja se on tarpeeksi pitkä.", "%%% 12 z ###", "0x1f && 0x2e || !q[7]; " * 8]
+    fine = ["Re.", "x", rows[0][1]]
+    docs = spark.createDataFrame(rows + [(10_000 + i, t, None, "s", len(t)) for i, t in enumerate(odd + fine)], sample.schema)
+    out = language.language_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    left = {r.doc_id for r in out.collect()}
+    assert left & set(range(10_000, 10_100)) == {10_000 + len(odd) + i for i in range(len(fine))}
+    clean = {r[0] for r in rows if r[1] and len(r[1]) > 200}
+    assert len(clean - left) <= 0.01 * len(clean)
+
+
+def test_language_scores_against_plain_numpy(spark):
+    """Kernel, landmarks and ridge once more, n-gram by n-gram, on a small table."""
+    random.seed(11)
+    sounds = {"aa": ["ka", "ro", "mi"], "bb": ["sche", "tzu", "ung"], "cc": ["ión", "ña", "qué"]}
+    rows = [(i, " ".join("".join(random.choices(sounds[l], k=random.randint(1, 3))) for _ in range(6)), l, "s")
+            for i, l in enumerate(random.choices(list(sounds), k=60))]
+    p = language.LanguageParams(per_language=100, landmarks=4)
+    got = {r.key: r for r in language.identify(documents(spark, rows), p).collect()}
+
+    def grams(t):
+        t = " " + " ".join(t.lower().split()) + " "
+        return {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    model = language.fit_language(documents(spark, rows), p)
+    fit = sorted((l, language.Spectrum(3).codes(t).astype(np.int32).tobytes(), t) for k, t, l, _ in rows if zlib.crc32(str(k).encode()) % 5)
+    sets, of = [grams(t) for *_, t in fit], [l for l, *_ in fit]
+    marks = []
+    for l in model.languages:
+        own = [i for i, x in enumerate(of) if x == l]
+        marks += [sets[own[round(j)]] for j in np.linspace(0, len(own) - 1, min(4, len(own)))]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    good = values > 1e-8 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    x = np.array([[kernel(a, b) for b in marks] for a in sets]) @ root
+    y = np.array([[1.0 if l == m else -1.0 for m in model.languages] for l in of])
+    w = np.array([len(of) / (len(model.languages) * of.count(l)) for l in of])
+    mx, my = (w[:, None] * x).sum(0) / w.sum(), (w[:, None] * y).sum(0) / w.sum()
+    beta = np.linalg.solve((x - mx).T @ (w[:, None] * (x - mx)) + p.ridge * len(of) * np.eye(x.shape[1]), (x - mx).T @ (w[:, None] * (y - my)))
+    for key, text, *_ in rows:
+        f = (np.array([kernel(grams(text), b) for b in marks]) @ root - mx) @ beta + my
+        assert got[key].score == pytest.approx(np.clip((f.max() + 1) / 2, 0, 1), abs=1e-4)
+        assert got[key].lang_pred == model.languages[int(f.argmax())]
+
+
 # --- lines -------------------------------------------------------------------------------------
 
 def levenshtein(a, b):
