@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, stage, table
+from .common import components, small_side, stage, table
 from .near_copies import copy_groups
 
 SEED = 42
@@ -132,5 +132,5 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that repeat a doc_id are one document and stay alike; a document without a doc_id stays.
     """
     groups = copy_groups(docs)
-    gone = groups.where("key IS NOT NULL AND key <> component").select("key").distinct()
-    return docs.select(F.struct("*").alias("row")).join(gone, F.col("row")["doc_id"] == F.col("key"), "left_anti").select("row.*")
+    gone = stage(groups.where("key IS NOT NULL AND key <> component").select("key").distinct(), "copies-gone")
+    return docs.select(F.struct("*").alias("row")).join(small_side(gone), F.col("row")["doc_id"] == F.col("key"), "left_anti").select("row.*")
