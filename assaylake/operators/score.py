@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from .. import constants as K
 from ..functions.numeric import as_col, to_number
+from .kernel import KernelMachine, KernelParams
 
 
 def model_vector(
@@ -171,8 +172,9 @@ def high_arc_map(
 def baseline(name: str, seed: int = 42, n_features: int = 72, n_classes: int = 9, **settings):
     """An unfitted comparison classifier.
 
-    ``random_forest``, ``svm`` (linear, one against the rest), ``boosted_trees`` (one against
-    the rest) or ``mlp`` (two hidden layers, 128 and 64).  ``settings`` override parameters.
+    ``random_forest``, ``svm`` (RBF kernel over landmarks, one against the rest), ``linear_svm``,
+    ``boosted_trees`` (one against the rest) or ``mlp`` (two hidden layers, 128 and 64).
+    ``settings`` override parameters.
     """
     columns = {"featuresCol": "features", "labelCol": "label"}
     if name == "random_forest":
@@ -180,6 +182,8 @@ def baseline(name: str, seed: int = 42, n_features: int = 72, n_classes: int = 9
                     featureSubsetStrategy="sqrt", seed=seed)
         return RandomForestClassifier(**columns, **{**base, **settings})
     if name == "svm":
+        return KernelMachine(KernelParams(**{"seed": seed, **settings}))
+    if name == "linear_svm":
         base = dict(regParam=0.1, maxIter=100)
         return OneVsRest(classifier=LinearSVC(**{**base, **settings}), **columns, parallelism=4)
     if name == "boosted_trees":

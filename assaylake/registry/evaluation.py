@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import attribution as L
@@ -132,8 +133,6 @@ def _codes(spark, sf):
           "SELECT vec_id, [" + ", ".join(f"CAST(((CAST(floor(CAST(embedding[{i + 1}] AS DOUBLE)*1000) AS BIGINT) % 256) + 256) % 256 AS DOUBLE)/255.0" for i in (2, 0, 1, 3, 4, 5)) + ", " +
           ", ".join(f"CAST(CAST(embedding[{i + 1}] < 0 AS INTEGER) AS DOUBLE)" for i in (2, 0, 1, 3, 4, 5)) + "] AS features FROM embeddings")
 def j19(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
     order = ["f2", "f0", "f1", "f3", "f4", "f5"]
     return R.model_vector(_codes(spark, sf), order).select("vec_id", vector_to_array("features").alias("features"))
 
@@ -152,9 +151,9 @@ def j20(spark, sf):
                       F.forall("probs_std", lambda x: x >= 0).alias("std_ok"))
 
 
-@register("j21_baselines", "SELECT name, count(*) AS n FROM embeddings, (VALUES ('random_forest'), ('svm'), ('boosted_trees'), ('mlp')) AS v(name) WHERE vec_id % 2 = 1 GROUP BY 1")
+@register("j21_baselines", "SELECT name, count(*) AS n FROM embeddings, (VALUES ('random_forest'), ('linear_svm'), ('boosted_trees'), ('mlp')) AS v(name) WHERE vec_id % 2 = 1 GROUP BY 1")
 def j21(spark, sf):
-    small = {"random_forest": {"numTrees": 5, "maxDepth": 4}, "svm": {"maxIter": 3}, "boosted_trees": {"maxIter": 2, "maxDepth": 2}, "mlp": {"maxIter": 5}}
+    small = {"random_forest": {"numTrees": 5, "maxDepth": 4}, "linear_svm": {"maxIter": 3}, "boosted_trees": {"maxIter": 2, "maxDepth": 2}, "mlp": {"maxIter": 5}}
     parts = []
     for name, settings in small.items():
         rows, model = _fitted(spark, sf, name, **settings)
@@ -165,6 +164,14 @@ def j21(spark, sf):
     return out.where("prediction BETWEEN 0 AND 9").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("j21_rbf_machine")
+def j21b(spark, sf):
+    """All 64 dimensions, production parameters, fitted on the even rows; every row is predicted."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda e: e.cast("double")).alias("features"), F.col("label").cast("double").alias("label"))
+    out = R.baseline("svm").fit(rows.where("vec_id % 2 = 0")).transform(rows)
+    return out.select("vec_id", F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability").alias("probs"))
+
+
 # --- attribution ------------------------------------------------------------------------------
 
 
