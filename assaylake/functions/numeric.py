@@ -123,16 +123,18 @@ def sample_hash(sample_id: str | Column, seed: int) -> Column:
 def draw_hash(sample_id: str | Column, draw: str | Column, seed: int) -> Column:
     """Pseudo-random integer in [0, 2147483647) for (row, draw number).
 
-    Two squaring steps, so that draws of different rows are not shifted copies of each other.
+    The row's id is kept as its remainders by two primes below 2**31, 62 bits together, so two ids
+    below 4.6e18 never have equal sequences of draws.  Each draw mixes its number into both lanes,
+    which then pass through squaring steps that feed each other; plain integer arithmetic, the same in
+    column expressions, NumPy and SQL.
     """
-    i, j = id_number(sample_id), as_col(draw).cast("bigint")
-    m = F.lit(HASH_SPAN)
-    x = F.pmod(
-        (i % F.lit(1000003)) * F.lit(7919) + (i % F.lit(999983)) * F.lit(104729)
-        + (j % F.lit(1000003)) * F.lit(15485863) + F.lit(seed), m)
-    y = (x * x + j * F.lit(48271) + F.lit(12345)) % m
-    z = (y * y + x) % m
-    return z
+    i, j = id_number(sample_id), F.pmod(as_col(draw).cast("bigint"), F.lit(DRAW_SPAN))
+    m, n = F.lit(HASH_SPAN), F.lit(OTHER_SPAN)
+    x = F.pmod(F.pmod(i, m) * F.lit(7919) + j * F.lit(15485863) + F.lit(seed), m)
+    v = F.pmod(F.pmod(i, n) * F.lit(104729) + j * F.lit(32452843) + F.lit(3 * seed), n)
+    y = (x * x + v + j * F.lit(48271) + F.lit(12345)) % m
+    u = (v * v + y) % n
+    return (y * y + u) % m
 
 
 def wide_draw(sample_id: str | Column, draw: int, seed: int) -> Column:
@@ -142,4 +144,6 @@ def wide_draw(sample_id: str | Column, draw: int, seed: int) -> Column:
 
 
 HASH_SPAN = 2147483647
+OTHER_SPAN = 2147483629  # the prime before it
+DRAW_SPAN = 1000003  # draw numbers repeat from here on
 SAMPLE_BITS = 60

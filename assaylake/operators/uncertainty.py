@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.numeric import HASH_SPAN, as_col, draw_hash, id_number, sample_hash
+from ..functions.numeric import DRAW_SPAN, HASH_SPAN, OTHER_SPAN, as_col, draw_hash, id_number, sample_hash
 from .filters import unpivot
 from .ordering import attach, exact_quantiles, hash_rank
 
@@ -91,9 +91,10 @@ def _poisson_sums(ids: np.ndarray, x: np.ndarray, w: np.ndarray, reps: int, seed
     j = np.arange(1, reps + 1, dtype=np.int64)[None, :]
     for at in range(0, len(ids), 512):
         i = ids[at:at + 512, None]
-        h = (np.fmod(i, 1000003) * 7919 + np.fmod(i, 999983) * 104729 + j * 15485863 + seed) % HASH_SPAN
-        y = (h * h + j * 48271 + 12345) % HASH_SPAN
-        u = ((y * y + h) % HASH_SPAN) / float(HASH_SPAN)
+        lane = (np.mod(i, HASH_SPAN) * 7919 + j * 15485863 + seed) % HASH_SPAN
+        other = (np.mod(i, OTHER_SPAN) * 104729 + j * 32452843 + 3 * seed) % OTHER_SPAN
+        mixed = (lane * lane + other + j * 48271 + 12345) % HASH_SPAN
+        u = ((mixed * mixed + (other * other + mixed) % OTHER_SPAN) % HASH_SPAN) / float(HASH_SPAN)
         count = np.searchsorted(cdf, u, side="right").astype(float)
         weight = w[at:at + 512]
         sums += np.stack([weight * x[at:at + 512], weight]) @ count
@@ -102,7 +103,7 @@ def _poisson_sums(ids: np.ndarray, x: np.ndarray, w: np.ndarray, reps: int, seed
 
 def _poisson_means(rows: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
     """One sum pair per group, replicate and task goes through the shuffle, whatever the rows."""
-    if reps >= 1000003:
+    if reps >= DRAW_SPAN:
         raise ValueError("at most 1,000,002 replicates")
     names = [*keys, "_rep", "_a", "_b"]
     given = rows.select(*[as_col(k) for k in keys], id_number("_id").alias("_id"), "_x", "_w")

@@ -12,6 +12,7 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 SEED = 42
 SPAN = 2147483647
+OTHER_SPAN = 2147483629
 CLASSES = ["click", "error", "purchase", "signup", "view"]
 ARC = ["click", "view"]
 
@@ -185,8 +186,8 @@ def hash_sql(seed: int, key: str = "sample_id") -> str:
 
 
 def draw_sql(key: str, draw: str, seed: int) -> str:
-    """The draw hash as SQL."""
-    x = (f"((({key} % 1000003) * 7919 + ({key} % 999983) * 104729 "
-         f"+ ({draw} % 1000003) * 15485863 + {seed}) % {SPAN})")
-    y = f"(({x} * {x} + {draw} * 48271 + 12345) % {SPAN})"
-    return f"(({y} * {y} + {x}) % {SPAN})"
+    """The draw hash as SQL, for keys and draw numbers of 0 or more."""
+    x = f"((({key} % {SPAN}) * 7919 + {draw} * 15485863 + {seed}) % {SPAN})"
+    v = f"((({key} % {OTHER_SPAN}) * 104729 + {draw} * 32452843 + {3 * seed}) % {OTHER_SPAN})"
+    y = f"(({x} * {x} + {v} + {draw} * 48271 + 12345) % {SPAN})"
+    return f"(({y} * {y} + ({v} * {v} + {y}) % {OTHER_SPAN}) % {SPAN})"

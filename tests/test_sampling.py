@@ -1,10 +1,11 @@
 """Seeded draws: balance along the ids, independence of seeds, ids of any type."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.functions.numeric import HASH_SPAN, sample_hash, wide_draw
-from assaylake.operators import sampling
+from assaylake.functions.numeric import HASH_SPAN, draw_hash, sample_hash, wide_draw
+from assaylake.operators import sampling, uncertainty
 
 PATTERNS = {
     "dense": "id", "strided": "id * 1000", "four_columns": "(id DIV 7) * 10000000000 + (id % 2000) * 100000 + (id % 100) * 10 + id % 7",
@@ -36,3 +37,26 @@ def test_samples_folds_and_wide_draws(spark):
     assert sample_hash("sample_id", 1) is not None
     top = spark.range(5000).select(wide_draw("id", 0, 7).alias("w")).agg(F.min("w"), F.max("w"), F.avg("w")).first()
     assert 0 <= top[0] < HASH_SPAN ** 2 * 0.01 and top[1] > HASH_SPAN ** 2 * 0.99 and abs(top[2] / HASH_SPAN ** 2 - 0.5) < 0.02
+
+
+def test_draws_of_different_rows_never_repeat(spark):
+    """Also of ids that agree in small remainders, and far beyond 2**31 rows."""
+    rng = np.random.default_rng(12)
+    ids = np.unique(np.concatenate([rng.integers(0, 1 << 60, 200_000), np.arange(2000), np.arange(2000) + 1000003 * 999983,
+                                    np.arange(2000) + HASH_SPAN, np.arange(2000) + HASH_SPAN * 7]))
+    rows = spark.createDataFrame([(int(i),) for i in ids], "id long").select(
+        *[draw_hash("id", F.lit(j), 20240611).alias(f"d{j}") for j in range(1, 5)])
+    draws = np.array([tuple(r) for r in rows.collect()], np.int64)
+    assert len(np.unique(draws, axis=0)) == len(ids)
+    unit = draws / HASH_SPAN
+    assert np.abs(unit.mean(0) - 0.5).max() < 0.005 and np.abs(np.corrcoef(unit.T) - np.eye(4)).max() < 0.01
+    shifted = np.abs(np.corrcoef(unit[:-1, 0], unit[1:, 0])[0, 1])
+    assert shifted < 0.01
+    small = [int(i) for i in ids[:500]]
+    x = np.arange(500.0)
+    sums = uncertainty._poisson_sums(np.array(small), x, np.ones(500), 3, 5)
+    frame = spark.createDataFrame([(i, float(v)) for i, v in zip(small, x)], "id long, x double")
+    for rep in (1, 2, 3):
+        c = uncertainty.poisson_one(draw_hash("id", F.lit(rep), 5))
+        got = frame.select(c.alias("c"), "x").agg(F.sum(F.col("c") * F.col("x")), F.sum("c")).first()
+        assert tuple(got) == tuple(sums[:, rep - 1])
