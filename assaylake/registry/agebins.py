@@ -304,9 +304,9 @@ def c28(spark, sf):
 # --- grids over age ---------------------------------------------------------------------------
 
 _SHARES = "(SELECT pred_class_name, mid/1000.0 AS x, count(*)/sum(count(*)) OVER (PARTITION BY mid) AS y FROM B GROUP BY pred_class_name, mid)"
-_STEP = "(4.0-2.5)/59.0"
+_STEP = "(4.0-2.5)/519.0"
 _INTERP = f"""(SELECT k.pred_class_name, g.i, CAST(2.5 + g.i*{_STEP} AS DOUBLE) AS grid, coalesce(max(s.y + CASE WHEN nx IS NULL THEN 0 ELSE (ny - s.y)*(2.5 + g.i*{_STEP} - s.x)/(nx - s.x) END), 0.0) AS value
-  FROM (SELECT DISTINCT pred_class_name FROM B) k CROSS JOIN range(0, 60) AS g(i)
+  FROM (SELECT DISTINCT pred_class_name FROM B) k CROSS JOIN range(0, 520) AS g(i)
   LEFT JOIN (SELECT *, lead(x) OVER (PARTITION BY pred_class_name ORDER BY x) AS nx, lead(y) OVER (PARTITION BY pred_class_name ORDER BY x) AS ny FROM {_SHARES} q) s
   ON s.pred_class_name = k.pred_class_name AND s.x <= 2.5 + g.i*{_STEP} AND 2.5 + g.i*{_STEP} < coalesce(nx, s.x + 1e-12) GROUP BY 1, 2)"""
 
@@ -319,19 +319,19 @@ def _shares(spark, sf):
 
 @register("h12_interp_grid", f"SELECT pred_class_name, CAST(i AS INTEGER) AS i, grid, value FROM {_INTERP} t", "grid value", "E B")
 def h12(spark, sf):
-    return U.interp_grid(_shares(spark, sf), ["pred_class_name"], "x", "y", 2.5, 4.0, 60)
+    return U.interp_grid(_shares(spark, sf), ["pred_class_name"], "x", "y", 2.5, 4.0, 520)
 
 
-_SMOOTH = f"""(SELECT a.pred_class_name, a.i, sum(b.value*exp(-0.5*(o/3.0)*(o/3.0)))/sum(exp(-0.5*(o/3.0)*(o/3.0))) AS value
-  FROM {_INTERP} a CROSS JOIN range(-9, 10) AS g(o) JOIN {_INTERP} b ON a.pred_class_name = b.pred_class_name AND b.i = greatest(0, least(59, a.i + o)) GROUP BY 1, 2)"""
+_SMOOTH = f"""(SELECT a.pred_class_name, a.i, sum(b.value*exp(-0.5*(o/12.0)*(o/12.0)))/sum(exp(-0.5*(o/12.0)*(o/12.0))) AS value
+  FROM {_INTERP} a CROSS JOIN range(-36, 37) AS g(o) JOIN {_INTERP} b ON a.pred_class_name = b.pred_class_name AND b.i = greatest(0, least(519, a.i + o)) GROUP BY 1, 2)"""
 
 
 @register("h13_smooth_grid", f"SELECT pred_class_name, CAST(i AS INTEGER) AS i, value FROM {_SMOOTH} t", "value", "E B")
 def h13(spark, sf):
-    grid = U.interp_grid(_shares(spark, sf), ["pred_class_name"], "x", "y", 2.5, 4.0, 60)
-    return U.smooth_grid(grid, ["pred_class_name"], sigma=3.0)
+    grid = U.interp_grid(_shares(spark, sf), ["pred_class_name"], "x", "y", 2.5, 4.0, 520)
+    return U.smooth_grid(grid, ["pred_class_name"])
 
 
 @register("m8_ridge_profiles", f"SELECT pred_class_name, CAST(i AS INTEGER) AS i, value*0.78/max(value) OVER () AS value FROM {_SMOOTH} t", "value", "E B")
 def m8(spark, sf):
-    return U.ridge_profiles(_shares(spark, sf), "pred_class_name", "x", "y", 2.5, 4.0, 60, 3.0)
+    return U.ridge_profiles(_shares(spark, sf), "pred_class_name", "x", "y", 2.5, 4.0)

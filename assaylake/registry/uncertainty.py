@@ -77,15 +77,15 @@ def m3(spark, sf):
     return U.density_1d(s, ["source"], "x")
 
 
-_GRID = """(WITH C AS (SELECT least(floor((m2-0.0)/(110.0/30)), 29) AS ix, least(floor((m3-0.0)/(12.0/24)), 23) AS iy, count(*)*1.0 AS v FROM S WHERE m2 BETWEEN 0 AND 110 AND m3 BETWEEN 0 AND 12 GROUP BY 1, 2),
-  T AS (SELECT ix, iy, v/sum(v) OVER () AS v FROM C), O AS (SELECT o, exp(-0.5*(o/1.5)*(o/1.5)) AS e FROM range(-6, 7) AS k(o)), Z AS (SELECT sum(e) AS z FROM O),
-  A AS (SELECT i AS ix, iy, sum(v*e)/max(z) AS v FROM T, O, Z, range(30) AS r(i) WHERE i = ix + o GROUP BY 1, 2),
-  B2 AS (SELECT ix, j AS iy, sum(v*e)/max(z) AS v FROM A, O, Z, range(24) AS r(j) WHERE j = iy + o GROUP BY 1, 2)
-  SELECT CAST(i AS INTEGER) AS ix, CAST(j AS INTEGER) AS iy, coalesce(v, 0)/(SELECT max(v) FROM B2) AS density FROM range(30) AS r1(i) CROSS JOIN range(24) AS r2(j) LEFT JOIN B2 ON ix = i AND iy = j)"""
+_GRID = """(WITH C AS (SELECT least(floor((m2-0.0)/(110.0/150)), 149) AS ix, least(floor((m3-0.0)/(12.0/120)), 119) AS iy, count(*)*1.0 AS v FROM S WHERE m2 BETWEEN 0 AND 110 AND m3 BETWEEN 0 AND 12 GROUP BY 1, 2),
+  T AS (SELECT ix, iy, v/sum(v) OVER () AS v FROM C), O AS (SELECT o, exp(-0.5*(o/6.0)*(o/6.0)) AS e FROM range(-24, 25) AS k(o)), Z AS (SELECT sum(e) AS z FROM O),
+  A AS (SELECT i AS ix, iy, sum(v*e)/max(z) AS v FROM T, O, Z, range(150) AS r(i) WHERE i = ix + o GROUP BY 1, 2),
+  B2 AS (SELECT ix, j AS iy, sum(v*e)/max(z) AS v FROM A, O, Z, range(120) AS r(j) WHERE j = iy + o GROUP BY 1, 2)
+  SELECT CAST(i AS INTEGER) AS ix, CAST(j AS INTEGER) AS iy, coalesce(v, 0)/(SELECT max(v) FROM B2) AS density FROM range(150) AS r1(i) CROSS JOIN range(120) AS r2(j) LEFT JOIN B2 ON ix = i AND iy = j)"""
 
 
 def _grid(spark, sf):
-    return U.density_2d(samples(spark, sf), "m2", "m3", (0.0, 110.0), (0.0, 12.0), 30, 24, 1.5)
+    return U.density_2d(samples(spark, sf), "m2", "m3", (0.0, 110.0), (0.0, 12.0))
 
 
 @register("m4_density_2d", f"SELECT * FROM {_GRID} g", "density", "S")
@@ -108,11 +108,11 @@ def m6(spark, sf):
 
 
 _KERNEL = """SELECT unit, CAST(i AS INTEGER) AS i, grid, CASE WHEN max(d) OVER (PARTITION BY unit) > 0 THEN d/max(d) OVER (PARTITION BY unit) ELSE d END AS density FROM (
-  SELECT unit, i, 2.4 + i*(1.6/39.0) AS grid, sum(exp(-(2.4 + i*(1.6/39.0) - a)*(2.4 + i*(1.6/39.0) - a)/(2*0.06*0.06))) AS d FROM (
-    SELECT "Craton" AS unit, "C_AGE"/1000.0 AS a FROM E WHERE "Craton" IS NOT NULL AND "C_AGE" IS NOT NULL AND "Arc_probability3" >= 0.2 UNION ALL SELECT 'nowhere', 3.05) t, range(40) AS g(i) GROUP BY 1, 2) k"""
+  SELECT unit, i, 2.4 + i*(1.6/599.0) AS grid, sum(exp(-(2.4 + i*(1.6/599.0) - a)*(2.4 + i*(1.6/599.0) - a)/(2*0.06*0.06))) AS d FROM (
+    SELECT "Craton" AS unit, "C_AGE"/1000.0 AS a FROM E WHERE "Craton" IS NOT NULL AND "C_AGE" IS NOT NULL AND "Arc_probability3" >= 0.2 UNION ALL SELECT 'nowhere', 3.05) t, range(600) AS g(i) GROUP BY 1, 2) k"""
 
 
 @register("m7_kernel_profile", _KERNEL, "grid density", "E")
 def m7(spark, sf):
     e = scored(spark, sf).where("Craton IS NOT NULL AND Arc_probability3 >= 0.2").withColumn("ga", F.col("C_AGE") / 1000.0)
-    return U.kernel_profile(e, "Craton", "ga", 2.4, 4.0, 40, nominal={"nowhere": 3.05, "unit 3": 2.7})
+    return U.kernel_profile(e, "Craton", "ga", 2.4, 4.0, nominal={"nowhere": 3.05, "unit 3": 2.7})
