@@ -122,24 +122,27 @@ def k8b(spark, sf):
 # --- model input, scoring, baselines ----------------------------------------------------------
 
 
+_DIMS = 64
+_ORDER = [2, 0, 1, *range(3, _DIMS)]
+
+
 def _codes(spark, sf):
     p = table(spark, sf, "embeddings")
-    cells = {f"f{i}": F.pmod(F.floor(F.get("embedding", i).cast("double") * 1000), F.lit(256)).cast("smallint") for i in range(6)}
-    masks = {f"missing_mask__f{i}": (F.get("embedding", i) < 0).cast("tinyint") for i in range(6)}
+    cells = {f"f{i}": F.pmod(F.floor(F.get("embedding", i).cast("double") * 1000), F.lit(256)).cast("smallint") for i in range(_DIMS)}
+    masks = {f"missing_mask__f{i}": (F.get("embedding", i) < 0).cast("tinyint") for i in range(_DIMS)}
     return p.withColumns({**cells, **masks}).withColumn("label", F.col("label").cast("double"))
 
 
 @register("j19_model_vector",
-          "SELECT vec_id, [" + ", ".join(f"CAST(((CAST(floor(CAST(embedding[{i + 1}] AS DOUBLE)*1000) AS BIGINT) % 256) + 256) % 256 AS DOUBLE)/255.0" for i in (2, 0, 1, 3, 4, 5)) + ", " +
-          ", ".join(f"CAST(CAST(embedding[{i + 1}] < 0 AS INTEGER) AS DOUBLE)" for i in (2, 0, 1, 3, 4, 5)) + "] AS features FROM embeddings")
+          "SELECT vec_id, [" + ", ".join(f"CAST(((CAST(floor(CAST(embedding[{i + 1}] AS DOUBLE)*1000) AS BIGINT) % 256) + 256) % 256 AS DOUBLE)/255.0" for i in _ORDER) + ", " +
+          ", ".join(f"CAST(CAST(embedding[{i + 1}] < 0 AS INTEGER) AS DOUBLE)" for i in _ORDER) + "] AS features FROM embeddings")
 def j19(spark, sf):
-    order = ["f2", "f0", "f1", "f3", "f4", "f5"]
-    return R.model_vector(_codes(spark, sf), order).select("vec_id", vector_to_array("features").alias("features"))
+    return R.model_vector(_codes(spark, sf), [f"f{i}" for i in _ORDER]).select("vec_id", vector_to_array("features").alias("features"))
 
 
 def _fitted(spark, sf, name, **settings):
-    rows = R.model_vector(_codes(spark, sf), [f"f{i}" for i in range(6)])
-    return rows, R.baseline(name, n_features=12, n_classes=10, **settings).fit(rows.where("vec_id % 2 = 0"))
+    rows = R.model_vector(_codes(spark, sf), [f"f{i}" for i in range(_DIMS)])
+    return rows, R.baseline(name, n_features=2 * _DIMS, n_classes=10, **settings).fit(rows.where("vec_id % 2 = 0"))
 
 
 @register("j20_score_two_models", "SELECT vec_id, 10 AS n_classes, CAST(1.0 AS DOUBLE) AS total, TRUE AS std_ok FROM embeddings", "total")
