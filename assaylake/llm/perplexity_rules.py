@@ -21,11 +21,13 @@ _SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class RuleParams:
-    """order: bytes of the longest n-gram; fence: quartile distances from the quartiles to the bands;
+    """order: bytes of the longest n-gram; lower, upper: quartile distances from the first and third
+    quartile to the ends of a language's band (junk lies above it more often than below);
     piece_entries: model entries that a task holds at once (16 bytes each)."""
 
     order: int = 5
-    fence: float = 3.0
+    lower: float = 3.0
+    upper: float = 1.5
     piece_entries: int = 2_000_000
     min_words: int = 50
 
@@ -165,8 +167,8 @@ def quality_rules(docs: DataFrame, params: RuleParams | None = None, text: str =
     """(key, lang, base columns, perplexity, lower, upper, base_failed, kept), a row per input row.
 
     Perplexity per byte comes from a modified Kneser-Ney model counted over all texts.  Documents
-    that pass the base rules give their language's band: first quartile minus and third quartile
-    plus ``fence`` quartile distances of the log perplexity (null languages are one of their own).
+    that pass the base rules give their language's band: first quartile minus ``lower`` and third quartile
+    plus ``upper`` quartile distances of the log perplexity (null languages are one of their own).
     A document is kept if it passes the base rules (50 words or more, at most half of them in
     repeated three-word windows) and lies within the band.  Null and empty texts have counts of 0,
     a null perplexity and fail.  Very long texts are read whole, in pieces; repeated rows repeat and
@@ -182,7 +184,7 @@ def quality_rules(docs: DataFrame, params: RuleParams | None = None, text: str =
                                  F.when(F.col("n_bytes") > 0, F.col("nll") / F.col("n_bytes")).alias("bits"), failed.alias("base_failed")), "scored")
     quartiles = scored.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("bits", [0.25, 0.75], 10000).alias("q"))
     q = F.col("q")
-    bands = quartiles.select(F.col("lang").alias("of"), (q[0] - p.fence * (q[1] - q[0])).alias("low"), (q[1] + p.fence * (q[1] - q[0])).alias("high"))
+    bands = quartiles.select(F.col("lang").alias("of"), (q[0] - p.lower * (q[1] - q[0])).alias("low"), (q[1] + p.upper * (q[1] - q[0])).alias("high"))
     out = scored.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("of")), "left")  # a row per language
     inside = F.coalesce((F.col("bits") >= F.col("low")) & (F.col("bits") <= F.col("high")), F.lit(False))
     return out.select("key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.exp("bits").alias("perplexity"),
