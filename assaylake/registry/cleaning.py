@@ -71,6 +71,19 @@ def csv_fallback(spark, sf):
         F.count_if(F.col("note") == "é").alias("n"), F.sum(N.to_number("p_retailprice")).alias("total"))
 
 
+@register("a1_a2_mixed_encodings",
+          "SELECT p_partkey AS part, CASE WHEN p_partkey % 2 = 0 THEN 'é' ELSE 'é' || chr(65533) END AS note, p_name || chr(10) || '\"' || p_brand AS name FROM part")
+def mixed_encodings(spark, sf):
+    """Half of the rows with a byte-order mark and a genuine U+FFFD, half in ISO-8859-1, line breaks and quotes in cells."""
+    path = scratch_folder(spark, "mixed")
+    part = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("part"), F.lit("é").alias("note"), F.concat("p_name", F.lit('\n"'), "p_brand").alias("name")).repartition(4)
+    A.write_table(part.where("part % 2 = 0"), f"{path}/old", "csv", encoding="ISO-8859-1")
+    A.write_table(part.where("part % 2 <> 0").withColumn("note", F.lit("é\ufffd")), f"{path}/new", "csv", encoding="utf-8-sig")
+    back = A.read_csv_fallback(spark, [f"{path}/old", f"{path}/new"])
+    return back.select(F.col("part").cast("bigint").alias("part"), "note", "name")
+
+
 @register("a4_params_roundtrip",
           """SELECT 'm2' AS feature, r AS rank, v AS boundary FROM (
              SELECT m2 AS v, row_number() OVER (ORDER BY m2) - 1 AS pos, count(*) OVER () AS n FROM S) t

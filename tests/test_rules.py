@@ -150,6 +150,31 @@ def test_csv_encodings(spark, tmp_path):
         assert row["name"] == "café" and row["v"] == "1"
 
 
+def test_csv_folder_of_mixed_files(spark, tmp_path):
+    """Each file by its own bytes, in names with spaces too; a genuine U+FFFD stays; cells hold line breaks and quotes."""
+    folder = tmp_path / "mixed files"
+    folder.mkdir()
+    (folder / "a b.csv").write_bytes("id,naïve\n1,\"café\nau lait\"\n".encode("latin-1"))
+    (folder / "c%20d.csv").write_bytes("id,naïve\n2,\"say \"\"é\"\"\"\n".encode("latin-1"))
+    (folder / "u.csv").write_bytes("\ufeffid,naïve\n3,odd \ufffd café\n4,\n".encode("utf-8"))
+    got = {r["id"]: r["naïve"] for r in tables.read_csv_fallback(spark, str(folder)).collect()}
+    assert got == {"1": "café\nau lait", "2": 'say "é"', "3": "odd \ufffd café", "4": None}
+    with pytest.raises(ValueError, match="not UTF-8"):
+        tables.read_csv_fallback(spark, str(folder), ("UTF-8", "utf-8-sig"))
+
+
+def test_csv_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'é "x"\ny'), (2, None)], "`a b` int, t string").repartition(2)
+    path = tables.write_table(df, str(tmp_path / "out"), "csv", encoding="utf-8-sig")
+    files = [f for f in (tmp_path / "out").iterdir() if f.suffix == ".csv"]
+    assert files and all(f.read_bytes().startswith("\ufeffa b,t".encode("utf-8")) for f in files)
+    back = tables.read_csv_fallback(spark, path)
+    assert back.columns == ["a b", "t"]
+    assert sorted(map(tuple, back.collect())) == [("1", 'é "x"\ny'), ("2", None)]
+    tables.write_table(df.limit(0), path, "csv")
+    assert tables.read_csv_fallback(spark, path).count() == 0
+
+
 def test_oversampling_targets():
     assert balance.sampling_strategy({"a": 5, "b": 9}, {"a": 7, "b": 9}) == {"a": 7}
     assert balance.sampling_strategy({"a": 5, "b": 9}, 8) == {"a": 8}
