@@ -71,8 +71,11 @@ class KernelModel:
         total = p.sum(axis=1, keepdims=True)
         return np.where(total > 0, p / np.where(total > 0, total, 1), 1 / len(self.labels))
 
-    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
-        """Adds ``rawPrediction`` and ``probability`` (vectors) and ``prediction``.
+    def transform(
+        self, df: DataFrame, features: str = "features", probability: str = "probability",
+        prediction: str = "prediction", raw: str = "rawPrediction",
+    ) -> DataFrame:
+        """Adds margins and probabilities (vectors) and the predicted label under the names given.
 
         Rows without features, or with a missing or non-finite one, get nulls.  The label of the largest
         margin is predicted, the first of equals.
@@ -90,8 +93,8 @@ class KernelModel:
         made = F.pandas_udf(predict, "raw array<double>, probability array<double>, prediction double")
         rows = df.withColumn("_made", made(_cells(df, features)))
         vector = lambda c: F.when(F.col(f"_made.{c}").isNotNull(), array_to_vector(F.col(f"_made.{c}")))
-        return rows.withColumn("rawPrediction", vector("raw")).withColumn("probability", vector("probability")) \
-            .withColumn("prediction", F.col("_made.prediction")).drop("_made")
+        return rows.withColumn(raw, vector("raw")).withColumn(probability, vector("probability")) \
+            .withColumn(prediction, F.col("_made.prediction")).drop("_made")
 
 
 def _cells(df: DataFrame, features: str):

@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from .. import constants as K
 from ..functions.numeric import as_col, to_number
-from .kernel import KernelMachine, KernelParams
+from .kernel import KernelMachine, KernelModel, KernelParams
 
 
 def model_vector(
@@ -42,10 +42,12 @@ def score(
     deviation between classifiers."""
     work = df
     for i, model in enumerate(models):
-        fitted = model.copy().setFeaturesCol(features).setProbabilityCol("_prob")
-        fitted = fitted.setPredictionCol("_pred").setRawPredictionCol("_raw")
-        work = fitted.transform(work).withColumn(f"_p{i}", vector_to_array("_prob"))
-        work = work.drop("_prob", "_pred", "_raw")
+        if isinstance(model, KernelModel):
+            work = model.transform(work, features, "_prob", "_pred", "_raw")
+        else:
+            fitted = model.copy().setFeaturesCol(features).setProbabilityCol("_prob")
+            work = fitted.setPredictionCol("_pred").setRawPredictionCol("_raw").transform(work)
+        work = work.withColumn(f"_p{i}", vector_to_array("_prob")).drop("_prob", "_pred", "_raw")
     n = F.lit(float(len(models)))
     parts = F.array(*[F.col(f"_p{i}") for i in range(len(models))])
     classes = F.sequence(F.lit(0), F.size("_p0") - 1)

@@ -16,7 +16,7 @@ from ..operators.balance import fold_targets, smote
 from ..operators.composition import anhydrous
 from ..operators.dedup import attach_mask
 from ..operators.encode import collect_boundaries, fit_boundaries, missing_mask, quantile_encode
-from ..operators.evaluate import class_metrics, confusion, mean_ap
+from ..operators.evaluate import class_metrics, confusion, log_loss, mean_ap
 from ..operators.filters import drop_sparse
 from ..operators.impute import ForestImputer, ForestParams, fit_imputer, impute
 from ..operators.sampling import factorize, label_index, stratified_folds
@@ -64,7 +64,8 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """One metrics row per fold, model and seed, and their summary.
 
-    ``models`` maps a baseline name to its settings.  Folds are a loop over Spark jobs; what
+    ``validation_loss`` is the mean negative log probability of the true class in the held-out
+    fold.  ``models`` maps a baseline name to its settings.  Folds are a loop over Spark jobs; what
     comes back to the driver per fit is one row of metrics.
     """
     validate_labels(df, label, k)
@@ -88,11 +89,12 @@ def cross_validate(
                 rows = score(test, [fitted]).withColumn("pred", predicted_index("probs")).persist()
                 metrics = class_metrics(confusion(rows, "label", "pred", n_classes)).first()
                 precision = mean_ap(rows, "label", "probs").first()[0]
+                loss = log_loss(rows, "label", "probs").first()[0]
                 rows.unpersist()
-                runs.append((fold + 1, seed, name, *[float(m) for m in metrics], float(precision)))
+                runs.append((fold + 1, seed, name, *[float(m) for m in metrics], float(precision), float(loss)))
     spark = df.sparkSession
     table = spark.createDataFrame(
         runs, "fold int, seed int, experiment string, accuracy double, precision double, "
-        "recall double, weighted_f1 double, macro_f1 double, mAP double")
-    names = ["accuracy", "precision", "recall", "weighted_f1", "macro_f1", "mAP"]
+        "recall double, weighted_f1 double, macro_f1 double, mAP double, validation_loss double")
+    names = ["accuracy", "precision", "recall", "weighted_f1", "macro_f1", "mAP", "validation_loss"]
     return table, summarize_runs(table, metrics=names)

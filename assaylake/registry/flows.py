@@ -195,7 +195,7 @@ def p4(spark, sf):
 def p11(spark, sf):
     e = scored(spark, sf).select(ID, F.col("pred_class_name").alias("label"), F.col("BA").alias("m1"), F.expr("nullif(TH, 0)").alias("m2"), "LA", "NB")
     runs, _ = R.cross_validate(
-        e, ["m1", "m2", "LA", "NB"], ["m1", "m2"], "label", {"view": 2100}, {"random_forest": {"numTrees": 3, "maxDepth": 3}}, k=2, params=SMALL)
+        e, ["m1", "m2", "LA", "NB"], ["m1", "m2"], "label", {"view": 2100}, {"random_forest": {"numTrees": 3, "maxDepth": 3}}, seeds=(42, 123), k=5, params=SMALL)
     return runs
 
 

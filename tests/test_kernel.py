@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from assaylake.operators import kernel
-from assaylake.operators.score import baseline
+from assaylake.operators.score import baseline, score
+from assaylake.plans.preparation import cross_validate
+from assaylake.operators.impute import ForestParams
 
 SHAPE = "id int, features array<double>, label double"
 
@@ -71,3 +73,29 @@ def test_odd_rows_and_repeats(spark):
     assert {r.prediction for r in one.transform(df.where("id < 20")).collect()} == {1.0}
     with pytest.raises(ValueError):
         baseline("svm").fit(df.limit(0))
+
+
+def test_scores_of_mixed_classifiers(spark):
+    """The machine and a forest are averaged; other columns keep their names."""
+    df = spark.createDataFrame(rings(200, 2), SHAPE).withColumn("features", kernel.array_to_vector("features")).withColumnRenamed("id", "prediction")
+    known = df.drop("prediction")
+    models = [baseline("svm", landmarks=30).fit(known), baseline("random_forest", numTrees=3, maxDepth=3).fit(known)]
+    both, alone = score(df, models), [score(df, [m]) for m in models]
+    assert both.columns == ["prediction", "features", "label", "probs", "probs_std"]
+    parts = [{r[0]: np.array(r.probs) for r in rows.collect()} for rows in alone]
+    for r in both.collect():
+        assert np.array(r.probs) == pytest.approx((parts[0][r[0]] + parts[1][r[0]]) / 2)
+        assert np.array(r.probs_std) == pytest.approx(abs(parts[0][r[0]] - parts[1][r[0]]) / 2)
+
+
+def test_cross_validation_reports_loss(spark):
+    """Two folds, two seeds: classes far apart are told with a small loss; the summary averages the runs."""
+    rng = np.random.default_rng(1)
+    rows = [(i, "ab"[i % 2], *(lambda a: (float(a), float(100 - a)))(rng.normal(30 + 40 * (i % 2), 2))) for i in range(120)]
+    df = spark.createDataFrame(rows, "sample_id long, label string, m1 double, m2 double")
+    runs, summary = cross_validate(df, ["m1", "m2"], ["m1", "m2"], "label", {}, {"random_forest": {"numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 1}},
+                                   seeds=(42, 123), k=2, params=ForestParams(trees=2, max_depth=3))
+    got = runs.collect()
+    assert sorted((r.fold, r.seed) for r in got) == [(f, s) for f in (1, 2) for s in (42, 123)]
+    assert all(r.accuracy > 0.9 and 0 < r.validation_loss < 0.3 for r in got)
+    assert summary.first().validation_loss_mean == pytest.approx(np.mean([r.validation_loss for r in got]))
