@@ -49,27 +49,8 @@ def hinge_parts(f: np.ndarray, sign: np.ndarray, w: np.ndarray, weight: np.ndarr
     return c * float((g * v * v).sum()), -2 * c * a.T @ (g * s * v), 2 * c * (a * g[:, None]).T @ a
 
 
-@dataclass(frozen=True)
-class KernelModel:
-    """Fitted machine: margins of a row are [rbf(x, marks) @ root, 1] @ weights."""
-
-    labels: tuple[float, ...]
-    marks: np.ndarray
-    root: np.ndarray
-    gamma: float
-    weights: np.ndarray
-    curve: np.ndarray  # slope and intercept of each class's logistic curve
-
-    def features(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([rbf(x, self.marks, self.gamma) @ self.root, np.ones((len(x), 1))], axis=1)
-
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.weights
-
-    def probabilities(self, margins: np.ndarray) -> np.ndarray:
-        p = 1 / (1 + np.exp(-np.clip(margins * self.curve[0] + self.curve[1], -500, 500)))
-        total = p.sum(axis=1, keepdims=True)
-        return np.where(total > 0, p / np.where(total > 0, total, 1), 1 / len(self.labels))
+class MarginModel:
+    """A classifier of ``labels`` with NumPy methods ``margins(x)`` and ``probabilities(margins)`` for rows of ``width`` cells."""
 
     def transform(
         self, df: DataFrame, features: str = "features", probability: str = "probability",
@@ -82,7 +63,7 @@ class KernelModel:
         """
         def predict(column: pd.Series) -> pd.DataFrame:
             out = pd.DataFrame({"raw": [None] * len(column), "probability": None, "prediction": None}, dtype=object)
-            good = np.flatnonzero([v is not None and len(v) == self.marks.shape[1] and bool(np.isfinite(np.asarray(v, float)).all()) for v in column])
+            good = np.flatnonzero([v is not None and len(v) == self.width and bool(np.isfinite(np.asarray(v, float)).all()) for v in column])
             if len(good):
                 m = self.margins(np.stack([np.asarray(column.iloc[i], float) for i in good]))
                 p = self.probabilities(m)
@@ -91,18 +72,51 @@ class KernelModel:
             return out
 
         made = F.pandas_udf(predict, "raw array<double>, probability array<double>, prediction double")
-        rows = df.withColumn("_made", made(_cells(df, features)))
+        rows = df.withColumn("_made", made(cells(df, features)))
         vector = lambda c: F.when(F.col(f"_made.{c}").isNotNull(), array_to_vector(F.col(f"_made.{c}")))
         return rows.withColumn(raw, vector("raw")).withColumn(probability, vector("probability")) \
             .withColumn(prediction, F.col("_made.prediction")).drop("_made")
 
 
-def _cells(df: DataFrame, features: str):
+@dataclass(frozen=True)
+class KernelModel(MarginModel):
+    """Fitted machine: margins of a row are [rbf(x, marks) @ root, 1] @ weights."""
+
+    labels: tuple[float, ...]
+    marks: np.ndarray
+    root: np.ndarray
+    gamma: float
+    weights: np.ndarray
+    curve: np.ndarray  # slope and intercept of each class's logistic curve
+
+    @property
+    def width(self) -> int:
+        return self.marks.shape[1]
+
+    def features(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([rbf(x, self.marks, self.gamma) @ self.root, np.ones((len(x), 1))], axis=1)
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return self.features(x) @ self.weights
+
+    def probabilities(self, margins: np.ndarray) -> np.ndarray:
+        p = 1 / (1 + np.exp(-np.clip(margins * self.curve[0] + self.curve[1], -500, 500)))
+        total = p.sum(axis=1, keepdims=True)
+        return np.where(total > 0, p / np.where(total > 0, total, 1), 1 / len(self.labels))
+
+
+def cells(df: DataFrame, features: str):
     """The features as an array, from an array or a vector column."""
     kind = df.schema[features].dataType.typeName()
     return F.col(features) if kind == "array" else vector_to_array(features)
 
 
+def finite_rows(rows: DataFrame) -> DataFrame:
+    """The rows that have a label y and at least one feature x, none missing or non-finite."""
+    finite = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    return rows.where(F.col("y").isNotNull() & F.coalesce(finite & (F.size("x") > 0), F.lit(False)))
+
+
 class KernelMachine:
     """One-against-the-rest machine with squared hinge loss; ``fit`` has the shape of Spark's estimators."""
 
@@ -111,9 +125,8 @@ class KernelMachine:
 
     def _rows(self, df: DataFrame) -> DataFrame:
         w = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
-        rows = df.select(_cells(df, self.features).alias("x"), F.col(self.label).cast("double").alias("y"), w.alias("w"))
-        finite = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-        return rows.where(F.col("y").isNotNull() & (F.col("w") > 0) & F.coalesce(finite & (F.size("x") > 0), F.lit(False)))
+        rows = df.select(cells(df, self.features).alias("x"), F.col(self.label).cast("double").alias("y"), w.alias("w"))
+        return finite_rows(rows).where("w > 0")
 
     def fit(self, df: DataFrame) -> KernelModel:
         """The machine of all rows that have a label, a weight above 0 and finite features.

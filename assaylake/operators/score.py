@@ -16,7 +16,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from .. import constants as K
 from ..functions.numeric import as_col, to_number
-from .kernel import KernelMachine, KernelModel, KernelParams
+from .boosting import BoostParams, SoftmaxBooster
+from .kernel import KernelMachine, KernelParams, MarginModel
 
 
 def model_vector(
@@ -42,7 +43,7 @@ def score(
     deviation between classifiers."""
     work = df
     for i, model in enumerate(models):
-        if isinstance(model, KernelModel):
+        if isinstance(model, MarginModel):
             work = model.transform(work, features, "_prob", "_pred", "_raw")
         else:
             fitted = model.copy().setFeaturesCol(features).setProbabilityCol("_prob")
@@ -175,7 +176,8 @@ def baseline(name: str, seed: int = 42, n_features: int = 72, n_classes: int = 9
     """An unfitted comparison classifier.
 
     ``random_forest``, ``svm`` (RBF kernel over landmarks, one against the rest), ``linear_svm``,
-    ``boosted_trees`` (one against the rest) or ``mlp`` (two hidden layers, 128 and 64).
+    ``softmax_boosting`` (one booster for all classes), ``boosted_trees`` (Spark's, one against the
+    rest) or ``mlp`` (two hidden layers, 128 and 64).
     ``settings`` override parameters.
     """
     columns = {"featuresCol": "features", "labelCol": "label"}
@@ -188,6 +190,8 @@ def baseline(name: str, seed: int = 42, n_features: int = 72, n_classes: int = 9
     if name == "linear_svm":
         base = dict(regParam=0.1, maxIter=100)
         return OneVsRest(classifier=LinearSVC(**{**base, **settings}), **columns, parallelism=4)
+    if name == "softmax_boosting":
+        return SoftmaxBooster(BoostParams(**{"seed": seed, **settings}))
     if name == "boosted_trees":
         base = dict(maxIter=100, maxDepth=4, stepSize=0.05, subsamplingRate=0.65,
                     minInstancesPerNode=10, featureSubsetStrategy="0.7", seed=seed)
