@@ -95,7 +95,7 @@ def test_drawn_rows_do_not_depend_on_partitions(spark):
 def test_loss_falls_and_held_out_rows_are_told(spark):
     x, y = three_classes(900, 3)
     df = table(spark, x, y)
-    model = baseline("softmax_boosting", rounds=25, learning_rate=0.3, subsample=1.0, colsample=1.0, min_child_weight=1.0, alpha=0.0).fit(df.where("id % 3 > 0"))
+    model = baseline("softmax_boosting", rounds=15, learning_rate=0.4, subsample=1.0, colsample=1.0, min_child_weight=1.0, alpha=0.0).fit(df.where("id % 3 > 0"))
     assert model.losses[0] == pytest.approx(np.log(3))
     assert all(b < a for a, b in zip(model.losses, model.losses[1:]))
     got = model.transform(df.where("id % 3 = 0")).collect()
