@@ -9,7 +9,7 @@ from ..operators import attribution as L
 from ..operators import evaluate as V
 from ..operators import score as R
 from .domain import ARC_CLASSES, NAMES
-from .frames import probabilities, register, shap_long, table
+from .frames import probabilities, register, shap_long, shares_sql, SquareShares, table
 
 
 def _eval(spark, sf):
@@ -154,6 +154,21 @@ def j20(spark, sf):
                       F.forall("probs_std", lambda x: x >= 0).alias("std_ok"))
 
 
+_CELLS = [f"CAST(((CAST(floor(CAST(embedding[{i + 1}] AS DOUBLE)*1000) AS BIGINT) % 256) + 256) % 256 AS DOUBLE)/255.0" for i in range(_DIMS)] + \
+    [f"CAST(CAST(embedding[{i + 1}] < 0 AS INTEGER) AS DOUBLE)" for i in range(_DIMS)]
+_SHARES = [f"{part}{c}" for part in "ps" for c in range(10)]
+
+
+@register("j20_score_values",
+          "SELECT vec_id, " + ", ".join(_SHARES) + " FROM (" + shares_sql([f"x[{i + 1}]" for i in range(2 * _DIMS)], 10, (1, 2)).format(
+              source="(SELECT vec_id, [" + ", ".join(_CELLS) + "] AS x FROM embeddings) e") + ") t", " ".join(_SHARES))
+def j20b(spark, sf):
+    """Mean and deviation of two classifiers whose shares SQL can state, on all codes and masks."""
+    rows = R.model_vector(_codes(spark, sf), [f"f{i}" for i in range(_DIMS)])
+    out = R.score(rows, [SquareShares(tuple(map(float, range(10))), 2 * _DIMS, turn) for turn in (1, 2)])
+    return out.select("vec_id", *[F.get("probs", c).alias(f"p{c}") for c in range(10)], *[F.get("probs_std", c).alias(f"s{c}") for c in range(10)])
+
+
 @register("j21_baselines", "SELECT name, count(*) AS n FROM embeddings, (VALUES ('random_forest'), ('linear_svm'), ('boosted_trees'), ('mlp')) AS v(name) WHERE vec_id % 2 = 1 GROUP BY 1")
 def j21(spark, sf):
     small = {"random_forest": {"numTrees": 5, "maxDepth": 4}, "linear_svm": {"maxIter": 3}, "boosted_trees": {"maxIter": 2, "maxDepth": 2}, "mlp": {"maxIter": 5}}

@@ -19,7 +19,7 @@ from ..sources.tables import write_table
 from .agebins import binned
 from .cleaning import _CITE, _CITE_SQL, _references
 from . import agebins, uncertainty  # noqa: F401  their twins are used below
-from .frames import CLASSES, ORACLE, hash_sql, register, samples, scored, table
+from .frames import CLASSES, ORACLE, SquareShares, hash_sql, register, samples, scored, shares_sql, table
 
 ID = "sample_id"
 
@@ -280,6 +280,34 @@ def p7(spark, sf):
     return P.G.summarize_by_age(out, names)
 
 
+_STEPS = {"m1": 0.4, "m2": 0.4, "m3": 0.05, "m4": 0.05}  # widths of the code cells
+_CLOSED = {"m1": "m1/t*100.0", "m2": "m2/t*100.0", "m3": "m3", "m4": "m4"}
+_CODED = [f"CASE WHEN c{i} IS NULL THEN 0 ELSE 1 + len(list_filter(range(1, 255), lambda b: b*CAST({_STEPS[c]} AS DOUBLE) < c{i})) END/255.0" for i, c in enumerate(COLS)] + \
+    [f"CAST(c{i} IS NULL AS INTEGER)" for i in range(len(COLS))]
+_P7_PARTS = ["prob_A", "prob_N", "prob_R", "prob_std_A", "prob_std_N", "prob_std_R", "pred_prob_max", "pred_prob_std", "Arc_probability3"]
+_P7_SQL = f"""SELECT sample_id, m1, m2, m3, m4, missing_feature_count_36, pred_class_name, top AS pred_prob_max, spread AS pred_prob_std,
+    CASE WHEN top >= 0.4 AND spread <= 0.05 THEN 'high' WHEN top >= 0.5 THEN 'medium' ELSE 'low' END AS confidence_tier,
+    p0 AS "prob_A", p1 AS "prob_N", p2 AS "prob_R", s0 AS "prob_std_A", s1 AS "prob_std_N", s2 AS "prob_std_R", p0 AS "Arc_probability3", p0 >= 0.5 AS liu_arc_binary,
+    floor((2500.0 + l_partkey % 150 * 10.0)/200.0)*200.0 + 100.0 AS age_bin_mid_ma
+  FROM (SELECT *, greatest(p0, p1, p2) AS top, CASE greatest(p0, p1, p2) WHEN p0 THEN 'A' WHEN p1 THEN 'N' ELSE 'R' END AS pred_class_name,
+          CASE greatest(p0, p1, p2) WHEN p0 THEN s0 WHEN p1 THEN s1 ELSE s2 END AS spread
+        FROM ({shares_sql([f"x{i}" for i in range(8)], 3, (1, 2)).format(source="CODED")}) a) b"""
+
+
+@register("p7_score_values",
+          f"""SELECT * FROM (WITH CLOSED AS (SELECT *, {', '.join(f'{e} AS c{i}' for i, e in enumerate(_CLOSED.values()))} FROM
+                (SELECT *, nullif(coalesce(m1, 0) + coalesce(m2, 0), 0) AS t, CAST((m1 IS NULL)::INTEGER + (m2 IS NULL)::INTEGER + (m3 IS NULL)::INTEGER + (m4 IS NULL)::INTEGER AS INTEGER) AS missing_feature_count_36
+                 FROM S WHERE source = 'O') r WHERE missing_feature_count_36 < 4),
+              CODED AS (SELECT *, {', '.join(f'{e} AS x{i}' for i, e in enumerate(_CODED))} FROM CLOSED) {_P7_SQL}) q""", " ".join(_P7_PARTS), "S")
+def p7b(spark, sf):
+    """The scoring plan row by row, with fixed code cells and two classifiers whose shares SQL can state."""
+    rows = samples(spark, sf).where("source = 'O'").withColumn("AGE", 2500.0 + F.col("l_partkey") % 150 * 10.0)
+    bounds = {c: [i * step for i in range(1, 255)] for c, step in _STEPS.items()}
+    models = [SquareShares((0.0, 1.0, 2.0), 2 * len(COLS), turn) for turn in (1, 2)]
+    out = P.score_application(rows, COLS, ["m1", "m2"], bounds, models, ["A", "N", "R"], ["A"], high_p=0.4)
+    return out.select(ID, *COLS, "missing_feature_count_36", "pred_class_name", "confidence_tier", "liu_arc_binary", "age_bin_mid_ma", *_P7_PARTS)
+
+
 def _drift(spark, sf):
     ref, full, imputer, bounds, models, names = _trained(spark, sf)
     app = samples(spark, sf).where("source = 'O'").withColumn("unit", F.col("l_suppkey") % 20)

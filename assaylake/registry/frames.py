@@ -5,9 +5,14 @@ Both sides compute the same columns with the same arithmetic, so results can be
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.kernel import MarginModel
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 SEED = 42
@@ -191,3 +196,33 @@ def draw_sql(key: str, draw: str, seed: int) -> str:
     v = f"((({key} % {OTHER_SPAN}) * 104729 + {draw} * 32452843 + {3 * seed}) % {OTHER_SPAN})"
     y = f"(({x} * {x} + {v} + {draw} * 48271 + 12345) % {SPAN})"
     return f"(({y} * {y} + ({v} * {v} + {y}) % {OTHER_SPAN}) % {SPAN})"
+
+
+# --- a classifier of plain arithmetic, so that SQL can state its scores ------------------------
+
+
+@dataclass(frozen=True)
+class SquareShares(MarginModel):
+    """Share of a class: the square of 1 + the features weighted by (3i + 5c + 7 turn) mod 11, over the sum of all classes."""
+
+    labels: tuple[float, ...]
+    width: int
+    turn: int
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        i, c = np.arange(self.width)[:, None], np.arange(len(self.labels))
+        return 1 + x @ ((3 * i + 5 * c + 7 * self.turn) % 11)
+
+    def probabilities(self, margins: np.ndarray) -> np.ndarray:
+        return margins**2 / (margins**2).sum(axis=1, keepdims=True)
+
+
+def shares_sql(features: list[str], classes: int, turns: tuple[int, ...]) -> str:
+    """Columns p{class}_{turn}, their mean p{class} and deviation s{class}, to stand in nested selects over the given source."""
+    squares = ", ".join(
+        "power(1 + " + " + ".join(f"{(3 * i + 5 * c + 7 * t) % 11}*({f})" for i, f in enumerate(features)) + f", 2) AS q{c}_{t}"
+        for c in range(classes) for t in turns)
+    shares = ", ".join(f"q{c}_{t}/(" + " + ".join(f"q{k}_{t}" for k in range(classes)) + f") AS p{c}_{t}" for c in range(classes) for t in turns)
+    mean = ", ".join("(" + " + ".join(f"p{c}_{t}" for t in turns) + f")/{len(turns)} AS p{c}" for c in range(classes))
+    spread = ", ".join("sqrt((" + " + ".join(f"power(p{c}_{t} - p{c}, 2)" for t in turns) + f")/{len(turns)}) AS s{c}" for c in range(classes))
+    return f"SELECT *, {spread} FROM (SELECT *, {mean} FROM (SELECT *, {shares} FROM (SELECT *, {squares} FROM {{source}}) q1) q2) q3"
