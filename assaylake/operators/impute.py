@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_col, missing
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_folder, scratch_folder
 from .filters import unpivot
 from .ordering import attach, exact_median
 
@@ -103,13 +103,26 @@ def fit_forest_imputer(
 ) -> ForestImputer:
     """One forest regressor per column on the other columns, over rows where it is observed.
 
-    Columns without any observation get no model.  The prepared table is kept for the fits.
+    Columns without any observation get no model.  The prepared table is written once to the shared
+    scratch folder, so that a lost executor costs no more than its tasks, and deleted after the fits.
     """
+    spark = df.sparkSession
+    folder = scratch_folder(spark, "forests")
     prepared = df.select(
         *[as_col(c).alias(f"_y{i}") for i, c in enumerate(cols)],
         *[_finite(as_col(c)).alias(f"_x{i}") for i, c in enumerate(cols)],
         *[as_col(c).isNull().cast("double").alias(f"_m{i}") for i, c in enumerate(cols)],
-    ).persist()
+    )
+    try:
+        prepared.write.parquet(f"{folder}/cells")
+        return _fit_forests(spark.read.parquet(f"{folder}/cells"), cols, params, scaler)
+    finally:
+        drop_folder(spark, folder)
+
+
+def _fit_forests(
+    prepared: DataFrame, cols: Sequence[str], params: ForestParams, scaler: Scaler | None
+) -> ForestImputer:
     observed = prepared.agg(*[F.count(f"_y{i}").alias(f"n{i}") for i in range(len(cols))]).first()
 
     def fit(i: int) -> RandomForestRegressionModel:
@@ -126,7 +139,6 @@ def fit_forest_imputer(
     wanted = [i for i in range(len(cols)) if observed[f"n{i}"]]
     with ThreadPoolExecutor(params.parallel_fits) as pool:
         models = dict(zip([cols[i] for i in wanted], pool.map(fit, wanted)))
-    prepared.unpersist()
     return ForestImputer(list(cols), models, params, scaler)
 
 
