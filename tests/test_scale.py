@@ -98,6 +98,30 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert np.allclose(got, np.sort(other, 1)[:, :11].mean(1))
 
 
+@pytest.mark.parametrize("kind", ["wide", "lattice"])
+def test_neighbours_travel_once_per_block(spark, monkeypatch, kind):
+    """A query is sent to cells of bounded number, each of half a block on average, not to one for every root of the rows."""
+    monkeypatch.setattr(neighbours, "BLOCK", 500)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 200)
+    monkeypatch.setattr(neighbours, "TILE", 32)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 24)) if kind == "wide" else np.column_stack([rng.integers(0, n, 2000) for n in (50, 400, 9)]).astype(float)
+    x[:40] = x[41]
+    make = lambda m, at: spark.createDataFrame([(at + i, v.tolist()) for i, v in enumerate(m)], "id bigint, v array<double>")
+    index = neighbours.PivotIndex(make(x, 0), "v")
+    n = len(np.unique(x, axis=0))
+    assert len(index.pivots) <= -(-2 * n // 500) < np.sqrt(n) / 2
+    numbered = neighbours._distinct(make(x, 0), "v").withColumn("number", F.col("copies"))
+    sent = numbered.mapInPandas(neighbours._packs(index, 11, False), neighbours._PACK_SCHEMA).groupBy().sum("rows").first()[0]
+    assert sent == n
+    ref, app = neighbours.knn_distance(make(x, 0), make(x[500:900] + 0.25, 0), "id", "v", 10, 11)
+    own = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(own, np.inf)
+    other = np.sqrt((((x[500:900] + 0.25)[:, None] - x[None]) ** 2).sum(-1))
+    for got, want in ((ref, np.sort(own, 1)[:, :10]), (app, np.sort(other, 1)[:, :11])):
+        assert np.allclose([r[1] for r in got.orderBy("id").collect()], want.mean(1))
+
+
 def test_oversampling_stays_between_neighbours(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "few" if i < 30 else "many", float(a), float(b), f"m{i}") for i, (a, b) in enumerate(rng.uniform(1, 9, (230, 2)))]
