@@ -161,6 +161,25 @@ def test_stage_removes_every_near_copy(spark):
     assert left == {k for k in sets if top(k) == k} and not left & {56, 914, 875}
 
 
+def test_near_copy_stage_joins_fingerprints(spark, monkeypatch):
+    """The stage's candidates come from SimHash and pigeonring too, and the exact similarity decides."""
+    rnd = random.Random(3)
+    base = [" ".join(f"w{rnd.randrange(9000)}" for _ in range(300)) for _ in range(6)]
+    made = base + [" ".join([*t.split()[:-1], f"new{i}"]) for i, t in enumerate(base)]
+    seen, join = [], near_copies.near_pairs
+    monkeypatch.setattr(near_copies, "near_pairs", lambda fps, bits: seen.append(join(fps, bits)) or seen[-1])
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.simhash_stage(spark, docs, "").orderBy("doc_id").collect()] == list(range(6))
+    fps = [simhash.set_fingerprint(near_copies.shingles(t, 5)) for t in made]
+    near = {(min(a, b), max(a, b)) for a, b in combinations(fps, 2) if 0 < bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+    assert len(seen) == 1 and near and {(r.a, r.b) for r in seen[0].collect()} == near
+    classes = spark.createDataFrame(list(enumerate(fps)), "h long, fp long")
+    stars = {(r.a, r.b) for r in near_copies.simhash_stars(classes).collect()}
+    close = {tuple(sorted(((i, j)))) for i, j in combinations(range(12), 2) if bin((fps[i] ^ fps[j]) & (2**64 - 1)).count("1") <= 3}
+    assert {tuple(sorted(x)) for x in stars} == close
+    assert simhash.set_fingerprint(np.zeros(0, np.uint64)) == 0
+
+
 # --- language: the stage decides by its model, the model equals plain sums -----------------------
 
 def test_language_stage_refuses_unknown_languages(spark, sample):
