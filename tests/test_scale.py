@@ -202,3 +202,13 @@ def test_bootstrap_methods_agree(spark):
         assert g.bootstrap_sem == pytest.approx(sem, rel=0.15)
         assert g.bootstrap_ci_lo < g.weighted_mean < g.bootstrap_ci_hi
         assert out["tiny"].weighted_mean is None and out["tiny"].n == 2 and "zero" not in out
+
+
+def test_stored_raw_tables_stay_in_compiled_methods(spark):
+    """Writing a wide text table first sets the size from which Spark leaves one generated loop for small methods."""
+    from assaylake.registry import flows
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    rows = flows._stored(spark.range(3).withColumn("t", F.col("id").cast("string")), "small")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    assert sorted(tuple(r) for r in rows.collect()) == [(0, "0"), (1, "1"), (2, "2")]
