@@ -212,3 +212,33 @@ def test_stored_raw_tables_stay_in_compiled_methods(spark):
     rows = flows._stored(spark.range(3).withColumn("t", F.col("id").cast("string")), "small")
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
     assert sorted(tuple(r) for r in rows.collect()) == [(0, "0"), (1, "1"), (2, "2")]
+
+
+def test_scoring_joins_nothing(spark):
+    """Masks and raw values stay beside their rows, and codes count the boundaries below a value."""
+    from assaylake.operators.encode import quantile_encode
+    from assaylake.plans.application import score_application
+    from assaylake.registry.frames import SquareShares
+
+    rows = spark.createDataFrame([(i // 2, float(i), None if i % 3 else 1.0 * i, 100.0) for i in range(1, 40)], "sample_id long, a double, b double, AGE double")
+    bounds = {"a": [3.0, 3.0, 7.5, 20.0], "b": [10.0]}
+    model = SquareShares((0.0, 1.0), 4, 1)
+    out = score_application(rows, ["a", "b"], ["a"], bounds, [model], ["x", "y"], ["x"])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 39  # ids that repeat give one row each
+    got = quantile_encode(rows, bounds, "zero").collect()
+    for r, g in zip(rows.collect(), got):
+        assert g.a == 1 + sum(x < r.a for x in bounds["a"]) and g.b == (0 if r.b is None else 1 + (r.b > 10))
+
+
+def test_margin_models_take_whole_batches(spark):
+    from assaylake.registry.frames import SquareShares
+
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0]), (3, [float("nan"), 1.0]), (4, [3.0, None]), (5, [0.5, 0.25])], "id int, features array<double>").coalesce(1)
+    model = SquareShares((4.0, 2.0), 2, 1)
+    got = {r.id: r for r in model.transform(rows).collect()}
+    assert all(got[i].probability is None and got[i].prediction is None and got[i].rawPrediction is None for i in (1, 2, 3, 4))
+    for i, x in ((0, [1.0, 2.0]), (5, [0.5, 0.25])):
+        m = model.margins(np.array([x]))[0]
+        assert np.allclose(got[i].rawPrediction.toArray(), m) and np.allclose(got[i].probability.toArray(), m**2 / (m**2).sum())
+        assert got[i].prediction == model.labels[int(m.argmax())]
