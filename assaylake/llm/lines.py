@@ -58,18 +58,21 @@ def index_keys(p: LineParams) -> list[Column]:
 
 
 def parities() -> Column:
-    """32 bits: whether the characters whose code ends in these five bits are an odd number.
+    """64 bits: whether the characters whose hash ends in these six bits are an odd number.
 
     An inserted or deleted character turns one bit, a replaced one two at most, so lines within k edits
     differ in 2 * k bits at most.  Lines of one template differ in more as soon as a word differs, which
-    refuses most pairs of a common segment before their texts are looked at.
+    refuses most pairs of a common segment before their texts are looked at.  The bits are a long, since
+    bit_count extends the sign of an int.
     """
-    return F.aggregate(F.split("line", ""), F.lit(0), lambda s, c: s.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1), F.ascii(c).bitwiseAND(F.lit(31)))))
+    # A shift of a long counts the last six bits of its distance only.
+    return F.aggregate(F.split("line", ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(c))))
 
 
-def probe_keys(p: LineParams) -> list[tuple[int, Column]]:
-    """(length difference, key) of each substring to look up.
+def probe_keys(p: LineParams) -> list[tuple[int, str, Column | None]]:
+    """(length difference, name, key) of each substring to look up; an unmoved one of a line of the
+    same length is an index key, known under that name.
 
     For an indexed line shorter by d characters, segment i can only match substrings shifted by the
     edits before it and, from the other end, by those after it: the intersection of both ranges.
@@ -80,9 +83,12 @@ def probe_keys(p: LineParams) -> list[tuple[int, Column]]:
         for i in range(p.edits + 1):
             start, size = _segment(indexed, p.edits + 1, i)
             for shift in range(max(-i, d - (p.edits - i)), min(i, d + (p.edits - i)) + 1):
+                if d == shift == 0:
+                    out.append((d, f"i{i}", None))
+                    continue
                 at = start + shift
                 fits = (n >= p.min_chars) & (indexed >= p.min_chars) & (at >= 1) & (at + size - 1 <= n)
-                out.append((d, F.when(fits, _key(i, indexed, at, size))))
+                out.append((d, f"p{len(out)}", F.when(fits, _key(i, indexed, at, size))))
     return out
 
 
@@ -171,16 +177,14 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
 def line_links(lines: DataFrame, classes: DataFrame, p: LineParams) -> DataFrame:
     """(a1, a2, b1, b2, edits): every pair of different lines within the threshold, once.
 
-    ``classes`` has a row per distinct line with its parities s, index keys i0.. and probe keys p0..
+    ``classes`` has a row per distinct line with its parities s, index keys i0.. and the other probe keys p1..
     The join of index and probe keys, with the parities as a condition, gives candidates by the lines'
     first hash; candidates' texts are then fetched in one more scan and verified.  Texts decide, so equal hashes of different lines cost
     time only.
     """
-    n_probe = len(probe_keys(p))
-    deltas = [d for d, _ in probe_keys(p)]
     index = classes.select(F.col("h1").alias("a"), F.col("s").alias("sa"), F.explode(F.array(*[f"i{i}" for i in range(p.edits + 1)])).alias("k")).where("k IS NOT NULL")
     probe = classes.select(F.col("h1").alias("b"), F.col("s").alias("sb"), F.inline(F.array(*[
-        F.struct(F.col(f"p{i}").alias("q"), F.lit(deltas[i] > 0).alias("shorter")) for i in range(n_probe)]))).where("q IS NOT NULL")
+        F.struct(F.col(name).alias("q"), F.lit(d > 0).alias("shorter")) for d, name, _ in probe_keys(p)]))).where("q IS NOT NULL")
     hot = stage(index.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.hot).select("k"), "hot")
     alike = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * p.edits
     on = (F.col("k") == F.col("q")) & (F.col("a") != F.col("b")) & (F.col("shorter") | (F.col("a") < F.col("b"))) & alike
@@ -216,7 +220,7 @@ def mark_lines(docs: DataFrame, params: LineParams | None = None, text: str = "t
     """
     p = params or LineParams()
     lines = lines_of(docs, p, text, key)
-    keys = {"s": parities()} | {f"i{i}": k for i, k in enumerate(index_keys(p))} | {f"p{i}": k for i, (_, k) in enumerate(probe_keys(p))}
+    keys = {"s": parities()} | {f"i{i}": k for i, k in enumerate(index_keys(p))} | {name: k for _, name, k in probe_keys(p) if k is not None}
     classes = stage(lines.select("h1", "h2", "ord", *[k.alias(c) for c, k in keys.items()]).groupBy("h1", "h2").agg(
         F.min("ord").alias("first"), F.count(F.lit(1)).alias("n_copies"), *[F.max(c).alias(c) for c in keys]), "lines")
     links = stage(line_links(lines, classes, p), "links")

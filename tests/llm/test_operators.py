@@ -610,3 +610,14 @@ def test_verdicts_on_labels(spark):
     judged = [r for r in perplexity_rules.op10_quality_rules(spark, sf).collect() if not r.base_failed]
     assert np.mean([r.kept for r in judged if labels.get(r.doc_id) == (1, 0)]) > 0.97
     assert np.mean([r.kept for r in judged if labels.get(r.doc_id, (1,))[0] == 0]) < 0.65  # at three quartile distances 0.8 would stay
+
+
+def test_line_sketch_and_shared_keys(spark):
+    """Lines one character apart are linked whatever the character, and unmoved keys of equal lengths are made once."""
+    p = lines.LineParams()
+    assert {name for _, name, key in lines.probe_keys(p) if key is None} == {f"i{i}" for i in range(p.edits + 1)}
+    marks = [chr(c) for c in range(33, 127)] + list("\u00df\u00e4\u00e9\u03b1\u4e2d")
+    rows = [(2 * i + k, f"{i:03d} " * 8 + end) for i, c in enumerate(marks) for k, end in enumerate(("", c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.key: r for r in lines.mark_lines(docs, p).collect()}
+    assert all(got[2 * i].n_links >= 1 and not got[2 * i + 1].kept for i in range(len(marks)))
