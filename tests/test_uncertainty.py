@@ -40,3 +40,27 @@ def test_method_does_not_depend_on_size(spark):
     assert one.n == 300 and abs(one.bootstrap_sem - one.bootstrap_sem) == 0 and 0.02 < one.bootstrap_sem < 0.06
     with pytest.raises(ValueError):
         U.weighted_bootstrap(rows, [], "x", method="auto")
+
+
+@pytest.mark.parametrize("spans", [1 << 23, 160])
+def test_packed_draws_equal_single_ones(spark, monkeypatch, spans):
+    """Draws are packed in tasks, no longer a row each, and land on the same rows."""
+    from assaylake.functions.numeric import sample_hash
+    from assaylake.operators.ordering import attach, hash_rank
+
+    monkeypatch.setattr(U, "_SPAN_DRAWN", spans)
+    monkeypatch.setattr(U, "_DRAWN", 70)
+    key = F.when(F.col("id") % 4 == 1, -0.0).when(F.col("id") % 4 == 2, 0.0).when(F.col("id") % 4 == 3, F.lit(float("nan")))
+    rows = spark.range(300).select((F.col("id") * 10**13 - 7 * 10**14).alias("_id"), key.alias("g"), F.sin("id").alias("_x"), (F.col("id") % 9 + 0.5).alias("_w"))
+    rows = attach(rows, rows.groupBy("g").agg(F.count(F.lit(1)).alias("_n")), ["g"]).repartition(5)
+    made = U._multinomial_means(rows, ["g"], 20, 11)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    ranked = hash_rank(rows, ["g"], sample_hash("_id", 11), "_id", "_pos")
+    draws = ranked.select("g", "_n", "_id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("_rep")).select(
+        "g", "_rep", (draw_hash("_id", "_rep", 11) % F.col("_n") + 1).alias("_pos"))
+    want = attach(draws, ranked.select("g", "_pos", "_x", "_w"), ["g", "_pos"], "inner").groupBy("g", "_rep").agg(
+        (F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("m")).collect()
+    name = lambda g: str(g).replace("-", "")  # noqa: E731  the two zeros are one group
+    got = {(name(r.g), r._rep): r._mean for r in made.collect()}
+    assert len(got) == len(want) == 60
+    assert all(math.isclose(got[name(r.g), r._rep], r.m, rel_tol=1e-9) for r in want)
