@@ -38,8 +38,8 @@ def weighted_bootstrap(
     Rows need a value and a weight above 0; groups below three rows get counts only.
     ``poisson``, the method for groups of any size, gives every row an independent Poisson count
     per replicate: tasks sum per group and replicate, and only these sums are shuffled.
-    ``multinomial`` draws exactly n rows with replacement per replicate; it shuffles six bytes per row
-    and replicate.  Draws depend on the row id and the replicate only.
+    ``multinomial`` draws exactly n rows with replacement per replicate; draws are summed where they are
+    made.  Draws depend on the row id and the replicate only.
     """
     w = as_col(weight) if weight else F.lit(1.0)
     keys = list(by)
@@ -138,69 +138,110 @@ def _poisson_means(rows: DataFrame, keys: Sequence[str], reps: int, seed: int) -
     return sums.where(F.col("_b") > 0).select(*[as_col(k) for k in keys], "_rep", F.try_divide("_a", "_b").alias("_mean"))
 
 
-_DRAWN = 1 << 16  # draws that a task packs at a time
-_SPAN_DRAWN = 1 << 23  # draws that a span of positions gets on average
+_DRAWN = 1 << 16  # draws that a task makes at a time
+_SPAN_DRAWN = 1 << 31  # draws that a piece of values gets on average at most
+_POSITIONS = 1 << 20  # values per piece at most
+_BLOCK = 1 << 15  # rows per block of drawing rows
 
 
-def _draw_positions(ids: np.ndarray, sizes: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
-    """Positions from 0 that rows draw in replicates (rows, replicates), as ``draw_hash`` modulo the group's rows."""
+def _modulo(x: np.ndarray, span: int) -> np.ndarray:
+    """x modulo span in place, for x of 0 or more; dividing is vectorised, the remainder is not."""
+    x -= x // span * span
+    return x
+
+
+def _draw_positions(ids: np.ndarray, size: int, reps: np.ndarray, seed: int) -> np.ndarray:
+    """Positions from 0 that a group's rows draw in replicates (rows, replicates), as ``draw_hash`` modulo the group's rows."""
     i, j = ids[:, None], reps[None, :].astype(np.int64)
-    x = (np.mod(i, HASH_SPAN) * 7919 + j * 15485863 + seed) % HASH_SPAN
-    v = (np.mod(i, OTHER_SPAN) * 104729 + j * 32452843 + 3 * seed) % OTHER_SPAN
-    y = (x * x + v + j * 48271 + 12345) % HASH_SPAN
-    return (y * y + (v * v + y) % OTHER_SPAN) % HASH_SPAN % sizes[:, None]
+    x = _modulo(np.mod(i, HASH_SPAN) * 7919 % HASH_SPAN + (j * 15485863 + seed) % HASH_SPAN, HASH_SPAN)
+    v = _modulo(np.mod(i, OTHER_SPAN) * 104729 % OTHER_SPAN + (j * 32452843 + 3 * seed) % OTHER_SPAN, OTHER_SPAN)
+    x *= x
+    x += v
+    x += j * 48271 + 12345
+    y = _modulo(x, HASH_SPAN)
+    v *= v
+    v += y
+    v = _modulo(v, OTHER_SPAN)
+    y *= y
+    y += v
+    return _modulo(_modulo(y, HASH_SPAN), size)
+
+
+def _multinomial_sums(ids: np.ndarray, x: np.ndarray, w: np.ndarray, low: int, size: int, reps: int, seed: int) -> np.ndarray:
+    """Sums of weight*value and weight per replicate over the draws that land on the positions from ``low`` on.
+
+    ``x`` holds the products and ``w`` the weights of these positions; ``size`` is the group's number of rows.
+    """
+    total, whole = np.zeros((2, reps)), len(w) == size
+    if not whole:  # what lands elsewhere meets the zero behind the last value
+        x, w = np.append(x, 0.0), np.append(w, 0.0)
+    for first in range(1, reps + 1, _DRAWN):
+        turn = np.arange(first, min(first + _DRAWN, reps + 1))
+        step = max(1, _DRAWN // len(turn))
+        for at in range(0, len(ids), step):
+            where = _draw_positions(ids[at:at + step], size, turn, seed)
+            if not whole:
+                where -= low
+                where[(where < 0) | (where >= len(w) - 1)] = len(w) - 1
+            total[0, first - 1:first - 1 + len(turn)] += x[where].sum(axis=0)
+            total[1, first - 1:first - 1 + len(turn)] += w[where].sum(axis=0)
+    return total
 
 
 def _multinomial_means(rows: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
     """n draws per replicate: every row hands out one draw, which lands on a hashed position.
 
-    Draws go through the shuffle packed, as replicates and offsets into a span of positions, to the
-    values of that span; a span hands on one sum pair per replicate it was drawn in.
+    Draws are made where they are summed up and never shuffled: a block of drawing rows meets its group's
+    values, in pieces of bounded size, and hands on one sum pair per replicate.  A group of several pieces
+    makes its draws once for each of them.
     """
     if reps >= DRAW_SPAN:
         raise ValueError("at most 1,000,002 replicates")
     key_cols = [as_col(k) for k in keys]
-    bits = min(16, max(0, (_SPAN_DRAWN // reps).bit_length() - 1))
-    width = 1 << bits
     ranked = hash_rank(rows, keys, sample_hash("_id", seed), "_id", "_pos").drop("n")
     # A group's name in the tasks; adding 0 makes the two zeros one, and JSON would cut times to milliseconds.
     exact = {"double": lambda c: c + F.lit(0.0), "float": lambda c: c + F.lit(0.0), "timestamp": F.unix_micros, "timestamp_ntz": lambda c: c.cast("string")}
     plain = [exact.get(ranked.schema[k].dataType.typeName(), lambda c: c)(c).alias(f"k{i}") for i, (k, c) in enumerate(zip(keys, key_cols))]
     ranked = ranked.withColumn("_g", F.to_json(F.struct(*plain)) if keys else F.lit(""))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, _DRAWN // reps)
+    place, width = F.col("_pos").cast("long") - 1, min(_POSITIONS, max(1, _SPAN_DRAWN // reps))
+    parts = lambda n, size: range(-(-int(n) // size))
+
+    def piece(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_pos")
+        w = part["_w"].to_numpy()
+        return pd.DataFrame({"_g": key[0], "_piece": [key[1]], "_n": part["_n"].iloc[:1].to_numpy(), "_xs": [(w * part["_x"].to_numpy()).tobytes()], "_ws": [w.tobytes()]})
+
+    def block(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_g": key[0], "_block": [key[1]], "_n": part["_n"].iloc[:1].to_numpy(), "_ids": [part["_id"].to_numpy(np.int64).tobytes()]})
+
+    def spread(name: str, size: int):
+        """Every row once for each block or piece of its group."""
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(len(batch)):
+                    row = batch.iloc[at:at + 1]
+                    for turn in parts(row["_n"].iloc[0], size):
+                        yield row.assign(**{name: np.int32(turn)})
+        return each
+
+    values = ranked.select("_g", F.floor(place / F.lit(width)).cast("int").alias("_piece"), "_n", "_pos", "_x", "_w") \
+        .groupBy("_g", "_piece").applyInPandas(piece, "_g string, _piece int, _n long, _xs binary, _ws binary") \
+        .mapInPandas(spread("_block", _BLOCK), "_g string, _piece int, _n long, _xs binary, _ws binary, _block int").drop("_n")
+    drawing = ranked.select("_g", F.floor(place / F.lit(_BLOCK)).cast("int").alias("_block"), "_n", id_number("_id").alias("_id")) \
+        .groupBy("_g", "_block").applyInPandas(block, "_g string, _block int, _n long, _ids binary") \
+        .mapInPandas(spread("_piece", width), "_g string, _block int, _n long, _ids binary, _piece int")
+    # The work is in the draws, not in the bytes, so tasks are not put together by size; nor may a side that grew by its copies be broadcast.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = drawing.repartition(tasks, "_g", "_block", "_piece").hint("merge").join(values, ["_g", "_block", "_piece"]).select("_g", "_piece", "_n", "_ids", "_xs", "_ws")
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, part in batch.groupby("_g", sort=False):
-                ids, sizes = part["_id"].to_numpy(np.int64), part["_n"].to_numpy(np.int64)
-                for at in range(0, len(ids), step):
-                    for low in range(1, reps + 1, _DRAWN):
-                        turn = np.arange(low, min(low + _DRAWN, reps + 1), dtype=np.int32)
-                        where = _draw_positions(ids[at:at + step], sizes[at:at + step], turn, seed)
-                        rep, where = np.broadcast_to(turn, where.shape).ravel(), where.ravel()
-                        order = np.argsort(where >> bits, kind="stable")
-                        span, first = np.unique((where >> bits)[order], return_index=True)
-                        offsets, rep = (where & (width - 1))[order].astype(np.uint16), rep[order]
-                        ends = np.append(first[1:], len(order))
-                        yield pd.DataFrame({"_g": name, "_span": span, "_reps": [rep[a:b].tobytes() for a, b in zip(first, ends)],
-                                            "_at": [offsets[a:b].tobytes() for a, b in zip(first, ends)]})
-
-    def add(key: tuple, draws: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        x, w, total = np.zeros(width), np.zeros(width), np.zeros((2, reps + 1))
-        at = values["_at"].to_numpy(np.int64)
-        w[at] = values["_w"].to_numpy()
-        x[at] = w[at] * values["_x"].to_numpy()
-        for r, a in zip(draws["_reps"], draws["_at"]):
-            rep, at = np.frombuffer(r, np.int32), np.frombuffer(a, np.uint16)
-            total[0] += np.bincount(rep, x[at], reps + 1)
-            total[1] += np.bincount(rep, w[at], reps + 1)
-        drawn = np.flatnonzero(total[1])
-        return pd.DataFrame({"_g": key[0], "_rep": drawn.astype(np.int32), "_a": total[0][drawn], "_b": total[1][drawn]})
-
-    draws = ranked.select("_g", id_number("_id").alias("_id"), "_n").mapInPandas(draw, "_g string, _span long, _reps binary, _at binary")
-    place = F.col("_pos").cast("long") - 1
-    values = ranked.select("_g", F.shiftright(place, bits).alias("_span"), place.bitwiseAND(F.lit(width - 1)).alias("_at"), "_x", "_w")
-    sums = draws.groupBy("_g", "_span").cogroup(values.groupBy("_g", "_span")).applyInPandas(add, "_g string, _rep int, _a double, _b double")
+            for name, at, size, ids, xs, ws in zip(*[batch[c] for c in batch.columns]):
+                total = _multinomial_sums(np.frombuffer(ids, np.int64), np.frombuffer(xs), np.frombuffer(ws), int(at) * width, int(size), reps, seed)
+                drawn = np.flatnonzero(total[1])
+                yield pd.DataFrame({"_g": name, "_rep": drawn.astype(np.int32) + 1, "_a": total[0][drawn], "_b": total[1][drawn]})
+
+    sums = met.mapInPandas(add, "_g string, _rep int, _a double, _b double")
     means = sums.groupBy("_g", "_rep").agg((F.sum("_a") / F.sum("_b")).alias("_mean"))
     names = ranked.groupBy("_g").agg(*[F.first(c).alias(k) for k, c in zip(keys, key_cols)], F.count(F.lit(1)).alias("_n"))
     return attach(means, names, ["_g"], "inner").select(*key_cols, "_rep", "_mean")

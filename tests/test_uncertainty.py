@@ -64,3 +64,26 @@ def test_packed_draws_equal_single_ones(spark, monkeypatch, spans):
     got = {(name(r.g), r._rep): r._mean for r in made.collect()}
     assert len(got) == len(want) == 60
     assert all(math.isclose(got[name(r.g), r._rep], r.m, rel_tol=1e-9) for r in want)
+
+
+def test_draws_are_registered_with_all_replicates(spark, monkeypatch):
+    """Both methods have the 2,000 replicates of the default, in the query and in its twin."""
+    from assaylake.registry import frames
+    from assaylake.registry import uncertainty as R
+
+    asked, real = [], U.weighted_bootstrap
+    monkeypatch.setattr(R.U, "weighted_bootstrap", lambda df, by, x, w, reps, *a, **k: asked.append(reps) or real(df, by, x, w, 2, *a, **k))
+    for name in ("m1_weighted_bootstrap", "m1_weighted_bootstrap_poisson"):
+        frames.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "range(1, 2001)" in frames.ORACLE[name]
+    assert asked == [2000, 2000]
+
+
+def test_draws_over_several_pieces(monkeypatch):
+    """Sums over pieces of a group's positions add up to the sums over all of them."""
+    monkeypatch.setattr(U, "_DRAWN", 70)
+    ids, w = np.arange(-50, 51) * 10**12, np.arange(101) % 5 + 0.5
+    x = w * np.cos(np.arange(101))
+    whole = U._multinomial_sums(ids, x, w, 0, 101, 90, 7)
+    pieces = sum(U._multinomial_sums(ids, x[at:at + 40], w[at:at + 40], at, 101, 90, 7) for at in (0, 40, 80))
+    assert whole.shape == (2, 90) and np.allclose(whole, pieces, rtol=1e-12)
