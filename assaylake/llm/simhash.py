@@ -82,6 +82,9 @@ def near_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     second segment with every single bit flipped), longer chains are checked next and the full
     distance last, all inside the join condition.  A key spans half the bits at three differences,
     which keeps buckets small as the table grows.  Nothing is capped.
+
+    Spark sizes the listed keys as the values they come from, so the join is marked: neither side is
+    broadcast, whatever the table's size.
     """
     parts = max_bits + 1
     starts = [round(64 * i / parts) for i in range(parts + 1)]
@@ -106,7 +109,7 @@ def near_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
             reach += width[(i + l - 1) % parts]
             chains = chains & ((F.col("i") != i) | (F.bit_count(ring.bitwiseAND(_mask(reach))) <= l - 1))
     on = (F.col("k") == F.col("m")) & (F.col("i") == F.col("j")) & (F.col("a") < F.col("b")) & chains
-    return left.join(right, on).select("a", "b").distinct()
+    return left.join(right.hint("merge"), on).select("a", "b").distinct()
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = 3, shingle: int = 3) -> DataFrame:

@@ -621,3 +621,12 @@ def test_line_sketch_and_shared_keys(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.key: r for r in lines.mark_lines(docs, p).collect()}
     assert all(got[2 * i].n_links >= 1 and not got[2 * i + 1].kept for i in range(len(marks)))
+
+
+def test_near_pairs_are_never_broadcast(spark):
+    """Each fingerprint is listed under 68 keys, which Spark sizes as one: a table below its limit went to the driver 68-fold."""
+    fps = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 63),) for i in range(1, 200)] + [(7,), (15,)], "fp long")
+    pairs = simhash.near_pairs(fps)
+    assert [tuple(r) for r in pairs.collect()] == [(7, 15)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
