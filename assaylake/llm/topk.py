@@ -17,13 +17,15 @@ from .common import stage, table
 @dataclass(frozen=True)
 class TopkParams:
     """k: results per query; levels: impact levels of the index; block_rows and query_rows: vectors
-    and queries handled together; rescore: share of a block below which possible members are rescored."""
+    and queries handled together; rescore: share of a block below which possible members are rescored;
+    query_files: files that the groups of queries are dealt to, at most."""
 
     k: int = 20
     levels: int = 4
     block_rows: int = 16384
     query_rows: int = 512
     rescore: float = 0.02
+    query_files: int = 256
 
 
 def integer_vectors(rows: DataFrame, key: str, vector: str, scale: int = 64) -> DataFrame:
@@ -40,6 +42,13 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _compact(x: np.ndarray) -> tuple[str, bytes]:
+    """Type and bytes of whole numbers in the narrowest type that holds them."""
+    low, high = (x.min(), x.max()) if x.size else (0, 0)
+    kind = next((t for t in (np.int8, np.int16, np.int32) if np.iinfo(t).min <= low and high <= np.iinfo(t).max), np.float64)
+    return np.dtype(kind).str, x.astype(kind).tobytes()
+
+
 def impact_segments(x: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Posting segments of a block, by descending quantised impact.
 
@@ -98,8 +107,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: TopkParams | None = No
 
     Both inputs have (key, v) as integer_vectors() gives them.  Ties go to the smaller key.  Vectors
     are dealt to blocks by a hash of their key; each block becomes one index row of impact-ordered
-    posting segments in the shared folder.  Groups of queries meet every block (a stated query set
-    against all rows, in blocks); a block passes on ``k`` rows per query, merged at the end.
+    posting segments in the shared folder, a group of queries one row too.  Groups of queries meet every block (a stated query set
+    against all rows, in blocks), read from there by each task; a task passes on ``k`` rows per query, merged at the end.
 
     A query never finds rows of its own key; a key that repeats is queried once and found as often as
     it occurs.  Shorter vectors count as filled up with zeros.  Scores are exact up to 2**53.  Empty
@@ -110,38 +119,47 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: TopkParams | None = No
     size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first()
     blocks, width = max(1, -(-size.n // p.block_rows)), size.width
 
+    parts = ("level", "dimension", "position", "value")
+
     def build(batches: pd.DataFrame) -> pd.DataFrame:
         x, ids = _matrix(batches["v"], width), batches["key"].to_numpy(np.int64)
-        level, dimension, position, value = impact_segments(x, p.levels)
-        return pd.DataFrame({"block": [batches["block"].iloc[0]], "ids": [ids.tobytes()], "level": [level.tobytes()], "dimension": [dimension.tobytes()],
-                             "position": [position.tobytes()], "value": [value.astype(np.int32).tobytes()]})
+        packs = [_compact(part) for part in impact_segments(x, p.levels)]
+        return pd.DataFrame({"block": [batches["block"].iloc[0]], "ids": [ids.tobytes()], "kinds": [" ".join(kind for kind, _ in packs)]}
+                            | {name: [held] for name, (_, held) in zip(parts, packs)})
 
-    shape = "block int, ids binary, level binary, dimension binary, position binary, value binary"
+    shape = "block int, ids binary, kinds string, level binary, dimension binary, position binary, value binary"
     placed = kept.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.lit(blocks)).cast("int"))
     index = stage(placed.groupBy("block").applyInPandas(build, shape), "index")
     asked = stage(queries.dropDuplicates(["key"]), "queries")
     groups = max(1, -(-asked.count() // p.query_rows))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"own": [group["key"].to_numpy(np.int64).tobytes()], "q": [_matrix(group["v"], width).tobytes()]})
+        kind, held = _compact(_matrix(group["v"], width))
+        return pd.DataFrame({"own": [group["key"].to_numpy(np.int64).tobytes()], "kind": [kind], "q": [held]})
 
-    packed = asked.withColumn("g", F.pmod(F.xxhash64(F.lit("group"), "key"), F.lit(groups))).groupBy("g").applyInPandas(pack, "own binary, q binary")
-    to = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("to")
-    met = packed.select("own", "q", to).join(index, F.col("to") == F.col("block"))
+    grouped = asked.withColumn("g", F.pmod(F.xxhash64(F.lit("group"), "key"), F.lit(groups))).repartition(min(groups, p.query_files), "g")
+    packed = stage(grouped.groupBy("g").applyInPandas(pack, "own binary, kind string, q binary"), "packed")
+    # Every block's file meets every group's file where they are read: nothing is shuffled, broadcast or multiplied on disk.
+    met = index.crossJoin(packed.hint("shuffle_replicate_nl"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None  # the block at hand; all groups of a task meet it before the next one
         for b in batches:
             for row in range(b.num_rows):
-                own_, q_, ids_, level_, dimension_, position_, value_ = (b.column(i)[row].as_py() for i in range(7))
-                own, ids = np.frombuffer(own_, np.int64), np.frombuffer(ids_, np.int64)
-                segments = (np.frombuffer(level_, np.int8), np.frombuffer(dimension_, np.int32), np.frombuffer(position_, np.int32),
-                            np.frombuffer(value_, np.int32).astype(np.float64))
-                x = np.zeros((len(ids), width))
-                x[segments[2], segments[1]] = segments[3]
-                which, vec, score = block_topk(x, ids, segments, np.frombuffer(q_, np.float64).reshape(len(own), width), own, p)
+                own_, kind, q_, block = (b.column(i)[row].as_py() for i in range(4))
+                if block != at:
+                    ids_, kinds, *held = (b.column(i)[row].as_py() for i in range(4, 10))
+                    at, ids = block, np.frombuffer(ids_, np.int64)
+                    segments = [np.frombuffer(part, t) for part, t in zip(held, kinds.split(" "))]
+                    segments[3] = segments[3].astype(np.float64)
+                    x = np.zeros((len(ids), width))
+                    x[segments[2], segments[1]] = segments[3]
+                own = np.frombuffer(own_, np.int64)
+                asking = np.frombuffer(q_, kind).astype(np.float64).reshape(len(own), width)
+                which, vec, score = block_topk(x, ids, segments, asking, own, p)
                 yield pa.RecordBatch.from_arrays([pa.array(own[which]), pa.array(vec), pa.array(score.astype(np.int64))], ["query", "key", "score"])
 
-    found = met.select("own", "q", "ids", "level", "dimension", "position", "value").mapInArrow(each, "query long, key long, score long")
+    found = met.select("own", "kind", "q", "block", "ids", "kinds", *parts).mapInArrow(each, "query long, key long, score long")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("key"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query", "rank", "key", "score")
 

@@ -630,3 +630,18 @@ def test_near_pairs_are_never_broadcast(spark):
     assert [tuple(r) for r in pairs.collect()] == [(7, 15)]
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_topk_meets_blocks_without_broadcast_or_shuffle(spark):
+    """Groups of queries times blocks are read where they are compared; wide numbers and many files give the same rows."""
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(-300, 300) * (10**6 if i % 7 == 0 else 1) for _ in range(5)]) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "key long, v array<long>")
+    found = topk.top_k(vectors, vectors.where("key % 3 = 0"), topk.TopkParams(k=4, block_rows=20, query_rows=5, query_files=3))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and plan.count("Exchange") == 1
+    want = set()
+    for key, v in rows[::3]:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), k) for k, w in rows if k != key)[:4]
+        want |= {(key, rank, k, -score) for rank, (score, k) in enumerate(best, 1)}
+    assert {tuple(r) for r in found.collect()} == want
