@@ -645,3 +645,35 @@ def test_topk_meets_blocks_without_broadcast_or_shuffle(spark):
         best = sorted((-sum(a * b for a, b in zip(v, w)), k) for k, w in rows if k != key)[:4]
         want |= {(key, rank, k, -score) for rank, (score, k) in enumerate(best, 1)}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_sets_are_compared_in_scans_and_turns(spark, monkeypatch):
+    """Shares of the classes and of the pairs give the links of one pass; no scan fetches more classes than the bound."""
+    rng, rows = random.Random(5), []
+    for i in range(30):
+        words = [f"w{rng.randrange(400)}" for _ in range(60)]
+        rows += [(3 * i + j, " ".join(words[:60 - 2 * j])) for j in range(3)]
+    docs = spark.createDataFrame(rows + [(1000, rows[0][1]), (None, "one"), (None, None)], "doc_id long, text string")
+    fetched, real = [], near_copies.stage
+    monkeypatch.setattr(near_copies, "stage", lambda df, name: fetched.append(name) or real(df, name))
+    whole = sorted(map(tuple, near_copies.copy_groups(docs).collect()), key=str)
+    assert fetched.count("copies-links") == fetched.count("copies-sets") == 3
+    fetched.clear()
+    parts = sorted(map(tuple, near_copies.copy_groups(docs, near_copies.CopyParams(needed=20, turns=3, compared=50)).collect()), key=str)
+    assert parts == whole and fetched.count("copies-sets") >= 4 and fetched.count("copies-links") >= 5
+    assert sum(k is not None and k != c for k, c in whole) == 61
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    """What a staged table shuffled goes at its end; plans that are still held can run again."""
+    from glob import glob
+
+    from pyspark import SparkContext
+
+    local = SparkContext._active_spark_context._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: sum((glob(f"{d}/**/shuffle_*.data", recursive=True) for d in local), [])
+    before = set(files())
+    grouped = spark.range(1000).groupBy(F.pmod("id", F.lit(7)).alias("k")).count()
+    staged = common.stage(grouped, "counts")
+    assert not set(files()) - before and staged.count() == grouped.count() == 7
+    assert spark.conf.get(common._CLEAN) == "false"
