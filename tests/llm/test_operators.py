@@ -677,3 +677,13 @@ def test_a_staged_table_leaves_no_shuffle_files(spark):
     staged = common.stage(grouped, "counts")
     assert not set(files()) - before and staged.count() == grouped.count() == 7
     assert spark.conf.get(common._CLEAN) == "false"
+
+
+def test_pipeline_fingerprints_are_never_broadcast(spark, monkeypatch):
+    """The pipeline's candidates come from the same join of listed keys."""
+    seen, real = [], near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda edges: seen.append(edges) or real(edges))
+    classes = spark.createDataFrame([(i, i * 0x9E3779B97F4A7C15 % (1 << 63)) for i in range(1, 100)] + [(200, 7), (201, 15), (202, 7)], "h long, fp long")
+    stars = near_copies.simhash_stars(common.stage(classes, "classes"))
+    assert {tuple(r) for r in stars.collect()} == {(200, 201), (200, 202)}
+    assert "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
