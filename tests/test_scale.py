@@ -242,3 +242,37 @@ def test_margin_models_take_whole_batches(spark):
         m = model.margins(np.array([x]))[0]
         assert np.allclose(got[i].rawPrediction.toArray(), m) and np.allclose(got[i].probability.toArray(), m**2 / (m**2).sum())
         assert got[i].prediction == model.labels[int(m.argmax())]
+
+
+def test_stored_rows_are_packed_and_leave_no_shuffle_files(spark):
+    """A stored table is a packed file, read by column; rows that Parquet cannot hold are checkpointed."""
+    from glob import glob
+
+    from assaylake import session
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {f for d in env.blockManager().diskBlockManager().localDirsString() for f in glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = files()
+    rows = spark.range(5000).groupBy((F.col("id") % 50).alias("a (%)")).agg(F.max("id").alias("b c"), F.lit("x" * 200).alias("long"))
+    kept = session.store_rows(rows)
+    assert not files() - before and "parquet" in kept._jdf.queryExecution().toString()
+    assert kept.dtypes == rows.dtypes and sorted(kept.collect()) == sorted(rows.collect())
+    odd = session.store_rows(spark.range(3).select(F.lit(None).alias("nothing"), F.col("id").alias("x")))
+    assert odd.count() == 3 and spark.conf.get(session.CLEAN_SHUFFLES) == "false"
+
+
+def test_rows_of_the_neighbour_search_are_never_broadcast(spark):
+    """Packed rows look smaller than they are; their joins are merge joins, also in a small table."""
+    rows = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id")).alias("vec"))
+    for far in neighbours.knn_distance(rows, rows.where("id % 3 = 0"), "id", "vec", 4):
+        plan = far._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_merge_of_one_list_and_of_several(spark):
+    """A query of one block keeps its list; one of several blocks gets the nearest of all, cut at k places."""
+    entry = lambda *found: [(float(d), t, None) for d, t in found]
+    rows = spark.createDataFrame([(1, entry((1, 2), (2, 1))), (2, entry((3, 2))), (2, entry((1, 1), (4, 3))), (3, entry((5, 1)))],
+                                 "number long, found array<struct<dist double, times int, vec array<double>>>")
+    got = {r.number: ([(f.dist, f.times) for f in r.found], r.bound) for r in neighbours._merge(rows, 3).collect()}
+    assert got == {1: ([(1, 2), (2, 1)], 2.0), 2: ([(1, 1), (3, 2)], 3.0), 3: ([(5, 1)], math.inf)}
